@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, packing
+from pixelloom.llm import bitplane, langid, packing, toxicity
 from pixelloom.llm.common import table
 
 
@@ -15,13 +15,21 @@ def op3_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_planes(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bitplane_tokens, op7_cost_balanced_packing)}
+    return {f.__name__: f for f in (op3_bitplane_tokens, op6_naive_bayes_language, op7_cost_balanced_packing, op9_kneser_ney_toxicity)}
 
 
 def oracle_sql() -> dict:
