@@ -47,16 +47,18 @@ def grams(points: np.ndarray, starts: np.ndarray, order: int):
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Order, place at a word's start, gram, context and suffix hashes and counts by class of all n-grams of docs (text, toxic)."""
+    """Order, place at a word's start, gram, context and suffix hashes and numbers of documents by class of all n-grams of docs (text, toxic): repeated lines add nothing."""
 
     def run(batches):
         for batch in batches_of(batches, 4 << 20):
             points, starts = code_points(strings(batch))
             toxic = np.repeat(batch.column(1).to_numpy(), np.diff(starts))
+            own = np.repeat(np.arange(len(starts) - 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.diff(starts))
             since, keys = grams(points, starts, TOP)
             for n in range(SHARED, TOP + 1):
                 gram = keys[n - 1]
                 inside = np.flatnonzero(gram != 0)
+                inside = inside[np.unique(gram[inside] + own[inside], return_index=True)[1]]
                 found, first, back = np.unique(gram[inside], return_index=True, return_inverse=True)
                 first = inside[first]
                 # the context is the n - 1 signs before the last one; the suffix the last n - 1 signs
@@ -69,10 +71,17 @@ def counted(docs: DataFrame) -> DataFrame:
     return found.groupBy("n", "gram").agg(F.first("initial").alias("initial"), F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off counts of 0, 1, 2 and more, from the numbers of n-grams seen once to four times."""
+    one, two, three, four = (max(1, int((counts == k).sum())) for k in (1, 2, 3, 4))
+    y = one / (one + 2 * two)
+    return np.clip([0, 1 - 2 * y * two / one, 2 - 3 * y * three / two, 3 - 4 * y * four / three], [0, 0.3, 0.6, 0.9], [0, 0.95, 1.8, 2.7])
+
+
 class KneserNey:
     """Log-likelihood ratios in backoff form: by order a sorted table of n-grams with their ratio, and one of contexts with the ratio of their backoff weights."""
 
-    def __init__(self, rows: pa.Table, discount: float = 0.75):
+    def __init__(self, rows: pa.Table):
         order = rows["n"].to_numpy()
         column = {c: rows[c].to_numpy() for c in ("initial", "gram", "context", "suffix", "toxic", "plain")}
         self.grams, self.contexts = [], []
@@ -91,14 +100,15 @@ class KneserNey:
             if n == SHARED:
                 counts = counts.sum(axis=0, keepdims=True).repeat(2, axis=0)
             contexts, back = np.unique(context, return_inverse=True)
-            total, types = (np.stack([np.bincount(back, x, len(contexts)) for x in y]) for y in (counts, counts > 0))
-            rest = np.where(total > 0, discount * types / np.maximum(total, 1), 1.0)
+            off = np.stack([discounts(c)[np.minimum(c, 3).astype(int)] for c in counts])
+            total, held = (np.stack([np.bincount(back, x, len(contexts)) for x in y]) for y in (counts, off))
+            rest = np.where(total > 0, held / np.maximum(total, 1), 1.0)
             if lower is None:
                 below = np.full(counts.shape, 1 / 64)
             else:
                 place = np.minimum(np.searchsorted(lower["gram"], suffix), len(lower["gram"]) - 1)
                 below = lower["p"][:, place]
-            p = np.maximum(counts - discount, 0) / np.maximum(total[:, back], 1) + rest[:, back] * below
+            p = (counts - off) / np.maximum(total[:, back], 1) + rest[:, back] * below
             self.grams.append((gram, np.log(p[0] / p[1]).astype(np.float32)))
             self.contexts.append((contexts, np.log(rest[0] / rest[1]).astype(np.float32)))
             lower = {"gram": gram, "p": p}
@@ -202,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, max_train / max(1, sizes.get(k, 0)))))])
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < F.try_element_at(share, F.col("toxic")) * (1 << 20))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["text"])
     rows = counted(sample.where(fold != 1)).toArrow()
     learned = bool(rows.num_rows) and {0, 1} <= set(sizes)
     model, weights = None, None
