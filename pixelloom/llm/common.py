@@ -83,4 +83,51 @@ def batches_of(batches, most: int = 16 << 20, column: str = "text"):
             at = to
 
 
-__all__ = ["batches_of", "code_points", "crc_of", "segment_sums", "shared_dir", "strings", "table", "utf8", "written"]
+#: Bases of the polynomial hashes of words and word sequences; any odd numbers do.
+BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads the bits of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    if n:
+        out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def ranged_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
+    """A 64-bit hash of values[begin:end] for each range, from one running sum: sum of v[i] * base^i, times base^-begin."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(base, len(values)), dtype=np.uint64)])
+    back = powers(pow(base, -1, 1 << 64), len(values) + 1)
+    return mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64))
+
+
+def word_ranges(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin and end of each word (run without ASCII white space) in the bytes of texts, and the first word of each text, with the number of words at the end."""
+    inside = np.ones(len(raw) + 1, bool)
+    inside[:-1] = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+    inside[-1] = False
+    fresh = np.zeros(len(raw) + 1, bool)
+    fresh[starts] = True
+    before = np.concatenate([[False], inside[:-1]])
+    begin = np.flatnonzero(inside & (~before | fresh))
+    end = np.flatnonzero(before & (~inside | fresh))
+    return begin, end, np.searchsorted(begin, starts)
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z made small."""
+    return raw + np.where((raw >= 65) & (raw <= 90), np.uint8(32), np.uint8(0))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all lower-cased words of texts, and the first word of each text, with the number of words at the end."""
+    raw, starts = utf8(texts)
+    begin, end, first = word_ranges(raw, starts)
+    return ranged_hashes(lowered(raw).astype(np.uint64) + np.uint64(1), begin, end), first

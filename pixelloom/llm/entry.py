@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, langid, packing, toxicity
+from pixelloom.llm import bitplane, langid, minhash, packing, toxicity
 from pixelloom.llm.common import table
 
 
@@ -28,8 +28,12 @@ def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bitplane_tokens, op6_naive_bayes_language, op7_cost_balanced_packing, op9_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op3_bitplane_tokens, op6_naive_bayes_language, op7_cost_balanced_packing, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
 
 
 def oracle_sql() -> dict:
