@@ -38,6 +38,27 @@ def crc_of(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(-1))
 
 
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
+#: Columns that name a row of documents: rows with the same doc_id and text are one.
+KEY = ["doc_key", "text_hash"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """KEY and the text (null: empty) of docs."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(KEY[0]), F.xxhash64(text).alias(KEY[1]), text.alias("text"))
+
+
+def doc_id():
+    return F.nullif(F.col(KEY[0]), F.lit(NO_ID)).alias("doc_id")
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with KEY beside their columns."""
+    return docs.withColumns({KEY[0]: F.coalesce("doc_id", F.lit(NO_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def strings(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """A column of a batch as large strings with nulls made empty."""
     return pc.fill_null(batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()), "")
@@ -70,7 +91,7 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(batches, most: int = 16 << 20, column: str = "text"):
+def batches_of(batches, most: int = 2 << 20, column: str = "text"):
     """Record batches cut so that a piece's texts have about `most` bytes; a longer text is a piece of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, langid, minhash, packing, toxicity
+from pixelloom.llm import bitplane, decontam, langid, minhash, packing, secrets, toxicity
 from pixelloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op3_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_planes(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_naive_bayes_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
@@ -24,6 +28,11 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "item_windows", "share", "slots")
+
+
 def op9_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +42,7 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bitplane_tokens, op6_naive_bayes_language, op7_cost_balanced_packing, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
+    return {f.__name__: f for f in (op3_bitplane_tokens, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
 
 
 def oracle_sql() -> dict:
