@@ -6,10 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, decontam, langid, minhash, packing, secrets, toxicity
+from pixelloom.llm import bitplane, cover_tree, decontam, langid, minhash, packing, secrets, toxicity, warc
 from pixelloom.llm.common import table
 
 
+def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the pages' records against a replica with known damage."""
+    good = warc.records(table(spark, sf_dir, "pages"))
+    return warc.audit(good, warc.damaged(good))
+
+
+OP2_SQL = """
+with r as (
+  select page_id, cast(floor(page_id / 256.0) as bigint) as segment,
+    'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as record
+  from pages),
+s as (select *, strlen(record) as size, row_number() over (partition by segment order by page_id) - 1 as seq,
+    sum(strlen(record)) over (partition by segment order by page_id) - strlen(record) as record_offset from r),
+d as (select *, sha256(record_offset::bigint || ':' || size || ':' || sha256(record)) as digest_a,
+    sha256(record_offset::bigint || ':' || size || ':' || sha256('WARC/1.1' || substr(record, 9))) as digest_bad from s)
+select segment, seq, page_id, record_offset::bigint as record_offset, size, case when page_id % 389 = 7 then 'missing' else 'corrupt' end as status, digest_a,
+  case when page_id % 389 = 7 then null else digest_bad end as digest_b
+from d where page_id % 389 = 7 or page_id % 97 = 5
+"""
+
+
 def op3_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = bitplane.write_planes(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return bitplane.read_planes(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -42,8 +69,8 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bitplane_tokens, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
+    return {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_warc_merkle_audit": OP2_SQL}
