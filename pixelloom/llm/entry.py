@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, cover_tree, decontam, langid, minhash, packing, secrets, toxicity, warc
+from pixelloom.llm import bitplane, cover_tree, decontam, langid, maxent, minhash, packing, secrets, toxicity, warc
 from pixelloom.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op3_bitplane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.read_planes(blocks).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -69,7 +73,7 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
+    return {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
 
 
 def oracle_sql() -> dict:
