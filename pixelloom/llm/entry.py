@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +74,7 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
 
 
 def oracle_sql() -> dict:

@@ -17,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings
 
@@ -65,8 +66,8 @@ def train(docs: DataFrame, label: str = "lang", fold=None, bits: int = 15, max_t
     return names, np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, with lang_pred and score, the posterior of that language under equal priors."""
+def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[str], extra: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` of docs, with the predicted language and its score, its posterior under equal priors, under the names `extra`."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(matrix)
     bits = matrix.shape[1].bit_length() - 1
@@ -85,16 +86,16 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[st
             best = sums.argmax(axis=1) if names else np.zeros(len(texts), int)
             odds = np.exp(sums - sums.max(axis=1, keepdims=True)) if names else np.ones((len(texts), 1))
             pred = np.where(lettered, np.array([*names, ""], object)[best], "und")
-            yield pa.record_batch([*(batch.column(place.index(c)) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(lettered, 1 / odds.sum(axis=1), 0.0))], names=[*keep, "lang_pred", "score"])
+            yield pa.record_batch([*(batch.column(place.index(c)) for c in keep), pa.array(pred, pa.string()), pa.array(np.where(lettered, 1 / odds.sum(axis=1), 0.0))], names=[*keep, *extra])
 
     chosen = docs.select(*place)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name in keep)
-    return chosen.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    fields = [f for f in chosen.schema if f.name in keep]
+    return chosen.mapInArrow(score, StructType([*fields, StructField(extra[0], StringType()), StructField(extra[1], DoubleType())]))
 
 
-def identify(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
-    """Learns from the rows whose crc32(doc_id) mod 3 is not 1 and predicts all rows; held_out marks the rest."""
+def identify(docs: DataFrame, keep: list[str] | None = None, extra: tuple[str, str] = ("lang_pred", "score"), **options) -> DataFrame:
+    """Learns from the rows whose crc32(doc_id) mod 3 is not 1 and predicts all rows; held_out marks the rest. extra: names of the new columns, for tables that have such names already."""
     fold = F.pmod(crc_of(), F.lit(3)) != 1
     names, matrix = train(docs, fold=fold & F.col("doc_id").isNotNull(), **options)
-    keep = keep or ["doc_id"]
-    return predict(docs, names, matrix, keep).withColumn("held_out", ~fold)
+    scored = predict(docs, names, matrix, keep or ["doc_id"], extra)
+    return scored.withColumn("held_out", ~fold) if "held_out" not in scored.columns else scored
