@@ -33,6 +33,11 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(df: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """A written table of ids, marked for broadcast while it has at most that many rows; beyond, joins with it are shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def crc_of(column: str = "doc_id"):
     """crc32 of the id as text; -1 for a null id, which so belongs to no fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(-1))
@@ -40,8 +45,8 @@ def crc_of(column: str = "doc_id"):
 
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
-#: Columns that name a row of documents: rows with the same doc_id and text are one.
-KEY = ["doc_key", "text_hash"]
+#: Columns that name a row of documents: rows with the same doc_id and text are one. No column of a table may have these names.
+KEY = ["_doc_key", "_text_hash"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

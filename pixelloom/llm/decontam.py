@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import KEY, NO_ID, doc_id, keyed, with_key
+from pixelloom.llm.common import KEY, NO_ID, beside, doc_id, keyed, with_key, written
 
 #: Units of measure that are placeholders after a number.
 UNITS = "km|m|cm|mm|kg|g|mg|t|lb|lbs|oz|mi|mile|miles|ft|feet|inch|inches|h|hour|hours|min|minute|minutes|s|sec|second|seconds|day|days|week|weeks|month|months|year|years|percent|usd|eur|dollar|dollars|euro|euros|cent|cents|l|ml|liter|liters|litre|litres|mph|kmh|kw|w|v|hz"
@@ -81,11 +81,11 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: floa
     )
     placed = placed.withColumn("there", F.array_distinct(there))
     one = F.size(F.array_distinct(F.transform("there", lambda s: F.struct(s["kind"], s["value"])))) == F.size("there")
-    out = placed.select(doc_id(), "text_hash", "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("share"), F.size("there").alias("slots"), one.alias("consistent"))
+    out = placed.select(doc_id(), KEY[1], "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("share"), F.size("there").alias("slots"), one.alias("consistent"))
     return out.where("consistent").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that contain an item; all columns stay."""
-    found = contaminated(docs, items, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(KEY[0]), KEY[1]).distinct()
-    return with_key(docs).join(found, KEY, "left_anti").select(*docs.columns)
+    found = written(contaminated(docs, items, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(KEY[0]), KEY[1]).distinct(), "found")
+    return with_key(docs).join(beside(found), KEY, "left_anti").select(*docs.columns)

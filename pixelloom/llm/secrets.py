@@ -175,12 +175,12 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     spans = find_secrets(docs, **options)
     before = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
-    cuts = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "kind"))).alias("cuts"), F.max("end").alias("last"))
+    cuts = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "kind"))).alias("_cuts"), F.max("end").alias("_last"))
     joined = with_key(docs).join(cuts, KEY, "left")
-    pieces = F.transform("cuts", lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring("text", s["from"] + 1, s["start"] - s["from"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring("text", F.col("last") + 1, F.length("text"))))
+    pieces = F.transform("_cuts", lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring("text", s["from"] + 1, s["start"] - s["from"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring("text", F.col("_last") + 1, F.length("text"))))
     names = docs.columns
     out = joined.withColumn("text", text)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*names)

@@ -238,8 +238,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
     def apply(batches):
         for batch in batches_of(batches, 4 << 20):
             texts = strings(batch)
-            z = features(shared.value, texts) @ weights[:-1] + weights[-1] if learned else np.full(len(texts), -np.inf)
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))], names=["doc_id", "score"])
+            score = np.zeros(len(texts))
+            if learned:
+                score = 1 / (1 + np.exp(-np.clip(features(shared.value, texts) @ weights[:-1] + weights[-1], -700, 700)))
+            yield pa.record_batch([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     scored = docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, score double")
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
