@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,42 @@ def local(pixels: DataFrame, sources: DataFrame, inner: Shape, outer: Shape, est
     """(image_id, id, background) from the pixels of a ring around each source."""
     rows = covered(pixels, footprint(sources, outer, inner, "center")).where(~F.coalesce("mask", F.lit(False)))
     return stats.estimate(rows, ["image_id", "id"], (estimator,)).select("image_id", "id", F.col(estimator).alias("background"))
+
+
+def spline_weights(boxes: int, size: int, length: int) -> np.ndarray:
+    """Weights (length x boxes) that take a line of boxes to pixels: interpolating cubic B-spline through the boxes' centres, mirrored at the ends."""
+
+    def basis(at: np.ndarray) -> np.ndarray:
+        out, low = np.zeros((len(at), boxes)), np.floor(at).astype(int)
+        t = at - low
+        parts = ((1 - t) ** 3 / 6, (3 * t**3 - 6 * t**2 + 4) / 6, (-3 * t**3 + 3 * t**2 + 3 * t + 1) / 6, t**3 / 6)
+        for k, w in enumerate(parts):
+            place = np.mod(low + k - 1, 2 * boxes)
+            np.add.at(out, (np.arange(len(at)), np.where(place >= boxes, 2 * boxes - 1 - place, place)), w)
+        return out
+
+    return basis((np.arange(length) + 0.5) / size - 0.5) @ np.linalg.inv(basis(np.arange(boxes, dtype=float)))
+
+
+def to_pixels_spline(pixels: DataFrame, boxes: DataFrame, size: int, reach: int = 16) -> DataFrame:
+    """Cubic-spline background at each pixel, clipped to the mesh's range. An image is worked in strips of one box row; a strip gets the mesh rows within `reach`, beyond which weights are below 1e-9."""
+    ends = pixels.groupBy("image_id").agg(F.max("y").alias("y_end"), F.max("x").alias("x_end"))
+    span = boxes.groupBy("image_id").agg(F.max("box_y").alias("rows"), F.max("box_x").alias("columns"), F.min("background").alias("low"), F.max("background").alias("high"))
+    strips = pixels.select("image_id", "y", "x", "value", F.floor(F.col("y") / size).cast("int").alias("strip"))
+    sent = boxes.select("image_id", "box_y", "box_x", "background").join(ends.join(span, "image_id"), "image_id")
+    steps = F.sequence(F.greatest(F.col("box_y") - reach, F.lit(0)), F.least(F.col("box_y") + reach, F.col("rows")))
+    sent = sent.withColumn("of", F.explode(steps)).withColumnRenamed("image_id", "image")
+    kind = pixels.schema["image_id"].dataType.simpleString()
+
+    def fill(own: pd.DataFrame, mesh: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or mesh.empty:
+            return pd.DataFrame(columns=["image_id", "y", "x", "value", "background"])
+        one = mesh.iloc[0]
+        rows, columns = int(one.rows) + 1, int(one["columns"]) + 1
+        plane = np.zeros((rows, columns))
+        plane[mesh.box_y, mesh.box_x] = mesh.background
+        wy, wx = spline_weights(rows, size, int(one.y_end) + 1), spline_weights(columns, size, int(one.x_end) + 1)
+        value = np.einsum("nb,nb->n", wy[own.y] @ plane, wx[own.x])
+        return own[["image_id", "y", "x", "value"]].assign(background=np.clip(value, one.low, one.high))
+
+    return strips.groupBy("image_id", "strip").cogroup(sent.groupBy("image", "of")).applyInPandas(fill, f"image_id {kind}, y int, x int, value double, background double")

@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.operators import aperture, background, catalog, centroids, detection, isophotes, profiles, psf, segmentation, stats
+from pixelloom.functions.wcs import Tan
+from pixelloom.operators import aperture, background, catalog, centroids, detection, isophotes, profiles, psf, segmentation, simulate, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -250,6 +251,12 @@ def background_to_pixels(spark, sf_dir):
     return rounded(background.to_pixels(pixels, background.fill_holes(background.mesh(pixels, 8)), 8))
 
 
+@query()
+def background_spline(spark, sf_dir):
+    pixels = image(spark, sf_dir, 64, 64)
+    return rounded(background.to_pixels_spline(pixels, background.fill_holes(background.mesh(pixels, 8)), 8))
+
+
 @query(f"""with {IMG}, {SRC} select 'all' as image_id, s.id, round(median(i.value), 4) as background from src s join img i on (i.x - s.x) ** 2 + (i.y - s.y) ** 2 < 64 and (i.x - s.x) ** 2 + (i.y - s.y) ** 2 >= 25 where not mask group by 2""")
 def background_local(spark, sf_dir):
     return rounded(background.local(image(spark, sf_dir), stars(spark), aperture.circle(5), aperture.circle(8)))
@@ -523,6 +530,36 @@ def isophote_fit(spark, sf_dir):
     return rounded(isophotes.fit_ellipse(galaxy, 31.0, 31.0, 9.0), 3)
 
 
+SKY = Tan(15.5, 15.5, 10.0, 30.0, ((-0.001, 0.0002), (0.0002, 0.001)))
+
+
+@query(f"""with {SRC}, t as (select id, x, y, radians((x - 15.5) * -0.001 + (y - 15.5) * 0.0002) as u, radians((x - 15.5) * 0.0002 + (y - 15.5) * 0.001) as v, sin(radians(30.0)) as s, cos(radians(30.0)) as k from src)
+select id, round(degrees(atan2(u, k - v * s)) + 10.0, 8) as lon, round(degrees(atan2(s + v * k, sqrt(u * u + (k - v * s) ** 2))), 8) as lat, x, y from t""")
+def sky_positions(spark, sf_dir):
+    rows = stars(spark)
+    lon, lat = SKY.to_sky(F.col("x"), F.col("y"))
+    rows = rows.select("id", lon.alias("lon"), lat.alias("lat"))
+    x, y = SKY.to_pixel(F.col("lon"), F.col("lat"))
+    return rows.select("id", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"), F.round(x, 6).alias("x"), F.round(y, 6).alias("y"))
+
+
+@query(f"""with {IMG}, {SRC} select i.image_id, i.y, i.x, round(any_value(i.value) + sum(case when abs(i.x - floor(s.x + 0.5)) <= 12 and abs(i.y - floor(s.y + 0.5)) <= 12 then 50.0 * s.id * exp(-(((i.x - s.x) * cos(0.3) + (i.y - s.y) * sin(0.3)) ** 2 / 8.0 + ((i.y - s.y) * cos(0.3) - (i.x - s.x) * sin(0.3)) ** 2 / 2.0)) else 0 end), 4) as value from img i, src s group by 1, 2, 3""")
+def simulate_gaussians(spark, sf_dir):
+    sources = stars(spark).select("x", "y", (50.0 * F.col("id")).alias("amplitude"), F.lit(2.0).alias("sx"), F.lit(1.0).alias("sy"), F.lit(0.3).alias("theta"))
+    return rounded(simulate.add_gaussians(image(spark, sf_dir), sources).select("image_id", "y", "x", "value"))
+
+
+@query()
+def simulate_noise(spark, sf_dir):
+    return rounded(simulate.add_noise(simulate.blank(spark, 64, 64, 5.0), 2.0, 7).select("image_id", "y", "x", "value"))
+
+
+@query()
+def image_depth(spark, sf_dir):
+    spots = positions(spark, [(k, 5.0 + 6 * (k % 4), 5.0 + 6 * (k // 4)) for k in range(16)])
+    return rounded(simulate.depth(image(spark, sf_dir).withColumn("mask", F.lit(False)), spots, aperture.circle(2.5)))
+
+
 @query("select vec_id as image_id, round(sum(v * (i % 8)) / sum(v), 4) as x_centroid, round(sum(v * (i // 8)) / sum(v), 4) as y_centroid from (select vec_id, unnest(embedding)::double ** 2 as v, unnest(range(64)) as i from embeddings) group by 1")
 def stamp_centroids(spark, sf_dir):
     return rounded(stats.centroid(stamps(spark, sf_dir).withColumn("value", F.col("value") * F.col("value")), ["image_id"]))
