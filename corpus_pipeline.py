@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pixelloom.llm import decontam, langid, minhash, packing, secrets
 from pixelloom.llm.common import table, written
@@ -24,13 +23,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = langid.identify(docs, keep=docs.columns, extra=("lang_pred", "lang_score"))
-    return kept.where("lang_pred <> 'und' and lang_score >= 0.4").select(*docs.columns)
+    kept = langid.identify(docs, keep=docs.columns, extra=("_lang", "_score"))
+    return kept.where("_lang <> 'und' and _score >= 0.4").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return minhash.without_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

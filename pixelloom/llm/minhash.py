@@ -9,9 +9,9 @@ most of the false ones, and a link is a Jaccard similarity of the shingle sets o
 on the whole sets.
 
 Texts with the same words collapse into one representative first. A bucket of up to `small` texts
-yields its pairs. A larger one yields stars: all of its texts against one hub, in rounds with another hub each,
-as long as its texts are of several classes; what is then still in several classes is compared in
-blocks on the signatures, so that no link is lost however large a bucket is.
+yields its pairs. A larger one yields a star, all of its texts against one hub; if its texts are then still of
+several classes, they are compared in blocks on their whole sets, so that no link between classes is lost however
+large a bucket is, and a block yields only links that join classes.
 
 Defined results: a null text, or one without a word, is a class of its own; a null doc_id has a null
 class and is kept; rows that repeat a document share its class; an empty table gives no rows; other columns are
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import BASE, BASE2, batches_of, mixed, powers, ranged_hashes, strings, word_hashes, written
+from pixelloom.llm.common import BASE, BASE2, batches_of, beside, mixed, powers, ranged_hashes, strings, word_hashes, written
 from pixelloom.llm.components import components
 
 WORDS = 5
@@ -82,7 +82,7 @@ def signatures(place: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 
 def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, two prints of the words, the bands' hashes (null without a word) and the registers in 16 bits each."""
+    """doc_id, two prints of the words, the bands' hashes (null without a word) and the registers in 8 bits each."""
     registers = bands * rows
 
     def run(batches):
@@ -94,7 +94,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 keys = mixed(keys * np.uint64(BASE) + held[:, k::rows])
             empty = np.bincount(place, minlength=batch.num_rows) == 0
             lists = [None if e else k for e, k in zip(empty, keys.view(np.int64), strict=True)]
-            sketch = [x.tobytes() for x in held.astype("<u2")]
+            sketch = [x.tobytes() for x in held.astype(np.uint8)]
             yield pa.record_batch([batch.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(lists, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["doc_id", "print_a", "print_b", "bands", "sketch"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print_a long, print_b long, bands array<long>, sketch binary")
@@ -105,7 +105,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (2, 3))
             yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).select([0, 1])
 
     left = sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("sketch_a"))
@@ -113,34 +113,53 @@ def estimated(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have that Jaccard similarity or more; only texts in pairs are read into sets."""
+def item_sets(docs: DataFrame, used: DataFrame) -> DataFrame:
+    """(doc, items): the shingle sets, as 32 bits of each hash, of the documents in used (doc_id)."""
 
     def sets(batches):
         for batch in batches_of(batches):
             place, element, *_ = shingles(strings(batch))
             bounds = np.searchsorted(place, np.arange(batch.num_rows + 1))
+            element = element.astype("<u4")
             data = [element[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["doc", "items"])
 
+    return docs.join(beside(written(used.distinct(), "used")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, "doc long, items binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity or more; only texts in pairs are read into sets."""
+
     def check(batches):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b))
+                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (a, b))
                 n = len(x) + len(y)
                 both = n - len(np.unique(np.concatenate([x, y]))) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
                 keep.append(both > 0 and both >= least * (n - both))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    used = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    items = written(docs.select("doc_id", "text").join(used, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, "doc long, items binary"), "sets")
+    items = written(item_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))), "sets")
     left, right = items.toDF("a", "items_a"), items.toDF("b", "items_b")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b").mapInArrow(check, "a long, b long")
 
 
-def blocks_of(open_members: DataFrame, sketches: DataFrame, least: float, block: int = 512) -> DataFrame:
-    """Pairs of different classes in buckets, by blocks: each block of texts meets each other one once, on signatures."""
+def overlaps(sets: list[np.ndarray], others: list[np.ndarray]):
+    """For each set the sizes of its intersections with all others."""
+    _, code = np.unique(np.concatenate([*sets, *others]), return_inverse=True)
+    sizes = [len(x) for x in (*sets, *others)]
+    begin = np.cumsum([0, *sizes])
+    own, theirs, starts = code[: begin[len(sets)]], code[begin[len(sets)] :], begin[len(sets) :] - begin[len(sets)]
+    mark = np.zeros(len(code), np.int32)
+    for i in range(len(sets)):
+        mark[own[begin[i] : begin[i + 1]]] = 1
+        yield np.add.reduceat(mark[theirs], starts[:-1])
+        mark[own[begin[i] : begin[i + 1]]] = 0
+
+
+def blocks_of(open_members: DataFrame, items: DataFrame, least: float, block: int = 256) -> DataFrame:
+    """Links (a, b) that join classes within buckets, by blocks: each block of texts meets each other one once."""
     sizes = open_members.groupBy("key").agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = open_members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
     others = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
@@ -149,55 +168,57 @@ def blocks_of(open_members: DataFrame, sketches: DataFrame, least: float, block:
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = int(rows.x.iloc[0]), int(rows.y.iloc[0])
         mine, theirs = rows[rows.part == x], rows[rows.part == y]
-        a, b = (np.frombuffer(b"".join(r.sketch), "<u2").reshape(len(r), -1) for r in (mine, theirs))
+        a, b = ([np.frombuffer(v, "<u4") for v in r["items"]] for r in (mine, theirs))
+        joined = {c: c for c in rows["class"]}
+
+        def top(c):
+            while joined[c] != c:
+                joined[c] = joined[joined[c]]
+                c = joined[c]
+            return c
+
         out = []
-        for i in range(len(mine)):
-            near = (b == a[i]).mean(axis=1) >= least
-            near &= (theirs["class"].to_numpy() != mine["class"].iloc[i]) & (theirs.doc.to_numpy() > mine.doc.iloc[i] if x == y else True)
-            # one partner of each other class is enough if the link holds; all are kept, as it may not
-            out.append(pd.DataFrame({"a": mine.doc.iloc[i], "b": theirs.doc.to_numpy()[near]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        if a and b and len(joined) > 1:
+            sizes, names, docs = np.array([len(v) for v in b]), theirs["class"].to_numpy(), theirs.doc.to_numpy()
+            for own, doc, name, both in zip(a, mine.doc, mine["class"], overlaps(a, b), strict=True):
+                for j in np.flatnonzero((both >= least * (len(own) + sizes - both)) & (names != name)):
+                    if top(name) != top(names[j]):
+                        joined[top(name)] = top(names[j])
+                        out.append((min(doc, docs[j]), max(doc, docs[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return sent.join(items, "doc").groupBy("key", "x", "y").applyInPandas(meet, "a long, b long").distinct()
+
 
-    found = sent.join(sketches, "doc").groupBy("key", "x", "y").applyInPandas(meet, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def without_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """docs with one document of each class, the one with the smallest doc_id; all columns stay."""
+    dropped = written(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "dropped")
+    return docs.join(beside(dropped), "doc_id", "left_anti")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 5, small: int = 8, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class) and kept (whether it is that document) for each row."""
     docs = docs.select("doc_id", "text")
-    least = threshold - 5 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
+    least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     marks = written(signed(docs, bands, rows), "signed")
     prints = marks.where("bands is not null and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc"))
     own = written(marks.select("doc_id", "print_a", "print_b", F.col("bands").isNull().alias("empty")).join(prints, ["print_a", "print_b"], "left").select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("doc")).alias("doc")), "own")
-    heads = prints.select("doc")
-    signatures_ = marks.join(heads, F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id"])
-    sketches = written(signatures_.select("doc", "bands", "sketch"), "heads")
-    keyed = sketches.select("doc", F.explode(F.array_distinct("bands")).alias("key"))
+    heads = written(marks.join(prints.select("doc"), F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id"]).select("doc", "bands", "sketch"), "heads")
+    keyed = heads.select("doc", F.explode(F.array_distinct("bands")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
     members = written(keyed.join(shared, "key"), "buckets")
-    sketches = sketches.select("doc", "sketch")
 
     few = members.where(F.col("size") <= small).select("key", "doc")
     pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b")
     pairs = pairs.union(members.where((F.col("size") > small) & (F.col("doc") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"))).distinct()
-    links = written(verified(written(estimated(pairs, sketches, least), "pairs"), docs, threshold), "found")
-    large = written(members.where(F.col("size") > small).select("key", "doc"), "large")
-    classes = components(links)
-    for turn in range(rounds if not large.isEmpty() else 0):
-        at = written(large.join(classes, large["doc"] == classes["node"], "left").select("key", "doc", F.coalesce("root", "doc").alias("class")), "classes")
-        several = at.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("key")
-        large = written(at.join(several, "key"), "open")
-        if large.isEmpty():
-            break
-        if turn < rounds - 1:
-            order = F.xxhash64("doc", F.lit(turn))
-            hubs = large.groupBy("key").agg(F.min_by(F.struct("doc", "class"), order).alias("hub"))
-            more = large.join(hubs, "key").where(F.col("class") != F.col("hub.class")).select(F.least("doc", "hub.doc").alias("a"), F.greatest("doc", "hub.doc").alias("b")).distinct()
-            more = estimated(more, sketches, least)
-        else:
-            more = blocks_of(large, sketches, least)
-        links = links.union(written(verified(written(more, "pairs"), docs, threshold), "found"))
-        classes = components(links)
-        large = large.select("key", "doc")
+    links = written(verified(written(estimated(pairs, heads.select("doc", "sketch"), least), "pairs"), docs, threshold), "found")
+    classes = written(components(links), "classes")
+    at = members.where(F.col("size") > small).join(classes, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("class"))
+    at = written(at, "large")
+    several = at.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("key")
+    left = written(at.join(several, "key"), "open")
+    if not left.isEmpty():
+        more = blocks_of(left, item_sets(docs, left.select(F.col("doc").alias("doc_id"))), threshold)
+        classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     named = own.join(classes, own["doc"] == classes["node"], "left").select("doc_id", F.coalesce("root", "doc").alias("class_id"))
     return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
