@@ -51,16 +51,18 @@ def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
     return octets.view("<u4").ravel()
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank") -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, with the end id) and the text's hash for each document."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", bounds: np.ndarray | None = None) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit, with the end id), the text's hash and shard, the place of doc_id between bounds, for each document."""
+    bounds = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches):
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, 6 << 20):
             ids, starts = with_end(*encoder(tokenizer, cut)(strings(batch)), end_id)
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.astype(np.int64) * 4), pa.py_buffer(ids.astype("<u4"))])
-            yield pa.record_batch([batch.column(0), data.cast(pa.binary()), batch.column(2)], names=["doc_id", "ids", "text_hash"])
+            shard = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
+            yield pa.record_batch([batch.column(0), data.cast(pa.binary()), batch.column(2), pa.array(shard)], names=["doc_id", "ids", "text_hash", "shard"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, ids binary, text_hash long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, ids binary, text_hash long, shard int")
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", block: int = 1 << 16, docs_per_shard: int = 1 << 13, kind: str = "bit") -> DataFrame:
@@ -73,11 +75,6 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank
     cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
     bounds = np.array(sorted(set(cuts or [])), np.int64)
 
-    def shard_of(batches):
-        for batch in batches:
-            ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-            yield pa.record_batch([pa.array(np.searchsorted(bounds, ids, "left").astype(np.int32)), *batch.columns], names=["shard", *batch.schema.names])
-
     def blocks(batches):
         part = None
         for batch in batches:
@@ -91,7 +88,7 @@ def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank
         if part:
             yield from part.rows(True)
 
-    ids = encoded(docs, tokenizer, end_id, cut).mapInArrow(shard_of, "shard int, doc_id long, ids binary, text_hash long")
+    ids = encoded(docs, tokenizer, end_id, cut, bounds)
     return written(ids.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "text_hash").select("shard", "doc_id", "ids").mapInArrow(blocks, FORMAT), "bitplane", compression="none")
 
 
