@@ -121,3 +121,41 @@ def matching_kernel(source: np.ndarray, target: np.ndarray, regular: float = 1e-
     ratio = ratio if window is None else ratio * window
     kernel = np.real(np.fft.fftshift(np.fft.ifft2(np.fft.ifftshift(ratio))))
     return kernel / kernel.sum()
+
+
+def taper(kind: str, size: int, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
+    """Windows for matching kernels, by distance from the centre as a share r of the half size: hanning, tukey (alpha), cosine (alpha), split (flat within beta, falling over alpha) and tophat (beta)."""
+    y, x = np.mgrid[:size, :size] - (size - 1) / 2
+    r = np.hypot(x, y) / ((size - 1) / 2)
+    alpha, beta = {"hanning": (1.0, 0.0), "tukey": (alpha, 1 - alpha), "cosine": (alpha, 1 - alpha), "split": (alpha, beta), "tophat": (0.0, beta)}[kind]
+    if alpha == 0:
+        return (r <= beta).astype(float)
+    fall = 0.5 * (1 + np.cos(np.pi * (r - beta) / alpha))
+    return np.where(r <= beta, 1.0, np.where(r < beta + alpha, fall, 0.0))
+
+
+def stacked_psf(pixels: DataFrame, stars: DataFrame, half: int, oversampling: int = 2) -> DataFrame:
+    """(j, i, value): the mean shape of stars (image_id, id, x, y) on a finer grid. Each star's pixels are scaled to unit sum, put on the grid by their offset from its centre, and each cell takes the median over stars."""
+    from pixelloom.operators.detection import cut_outs
+
+    near = stars.select("image_id", "id", F.floor(F.col("y") + 0.5).cast("int").alias("y"), F.floor(F.col("x") + 0.5).cast("int").alias("x"))
+    rows = cut_outs(pixels, near, half, half, ["value"]).join(stars.select("image_id", "id", F.col("x").alias("sx"), F.col("y").alias("sy")), ["image_id", "id"])
+    total = rows.groupBy("image_id", "id").agg(F.sum("value").alias("total"), F.count("*").alias("n")).where(F.col("n") == (2 * half + 1) ** 2)
+    rows = rows.join(total, ["image_id", "id"]).where("total > 0")
+    place = lambda a, b: F.round((F.col(a) - F.col(b)) * oversampling).cast("int")
+    return rows.groupBy(place("y", "sy").alias("j"), place("x", "sx").alias("i")).agg(F.median(F.col("value") / F.col("total")).alias("value"))
+
+
+def gridded(nodes: DataFrame, at: DataFrame) -> DataFrame:
+    """(id, j, i, value): the PSF at positions (id, x, y) between the nodes (gx, gy, j, i, value) of a rectangular grid, bilinear in the four nodes around; outside the grid the nearest edge."""
+    lines = nodes.select("gx", "gy").distinct()
+    xs, ys = lines.agg(F.array_sort(F.collect_set("gx")).alias("xs")), lines.agg(F.array_sort(F.collect_set("gy")).alias("ys"))
+    rows = at.crossJoin(F.broadcast(xs)).crossJoin(F.broadcast(ys))
+    for c, grid in (("x", "xs"), ("y", "ys")):
+        inside = F.least(F.greatest(F.col(c), F.element_at(grid, 1)), F.element_at(grid, -1))
+        rows = rows.withColumn(f"{c}0", F.array_max(F.expr(f"filter({grid}, g -> g <= least(greatest({c}, element_at({grid}, 1)), element_at({grid}, -1)))")))
+        rows = rows.withColumn(f"{c}1", F.coalesce(F.array_min(F.expr(f"filter({grid}, g -> g > {c}0)")), F.col(f"{c}0")))
+        rows = rows.withColumn(f"t{c}", F.coalesce(F.try_divide(inside - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"{c}0")), F.lit(0.0)))
+    corner = F.array(*[F.struct(F.col(f"x{a}").alias("gx"), F.col(f"y{b}").alias("gy"), ((F.col("tx") if a else 1 - F.col("tx")) * (F.col("ty") if b else 1 - F.col("ty"))).alias("w")) for a in (0, 1) for b in (0, 1)])
+    sent = rows.select("id", F.explode(corner).alias("c")).select("id", F.col("c.gx").alias("gx"), F.col("c.gy").alias("gy"), F.col("c.w").alias("w")).where("w > 0")
+    return sent.join(nodes, ["gx", "gy"]).groupBy("id", "j", "i").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
