@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, detection, isophotes, profiles, psf, segmentation, simulate, stats
+from pixelloom.operators import aperture, background, catalog, centroids, detection, finders, isophotes, profiles, psf, segmentation, simulate, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -311,6 +311,11 @@ def star_finder(spark, sf_dir):
     return rounded(detection.star_find(image(spark, sf_dir, 64, 64), 0.1, detection.gaussian_kernel(2.5, 5)))
 
 
+@query()
+def iraf_star_finder(spark, sf_dir):
+    return rounded(finders.iraf_find(image(spark, sf_dir, 64, 64), 0.1, 2.5, rounds=(0.0, 0.8)))
+
+
 @query("select a.p_partkey as a, b.p_partkey as b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as d from (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part where p_size <= 10) a join (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part where p_size <= 10) b on a.p_partkey < b.p_partkey and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9")
 def close_pairs(spark, sf_dir):
     points = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 10").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 100).alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
@@ -323,6 +328,17 @@ def centroid_com(spark, sf_dir):
     return rounded(centroids.centre_of_mass(image(spark, sf_dir), stars(spark).withColumn("image_id", F.lit("all"))), 5)
 
 
+@query()
+def centroid_windowed(spark, sf_dir):
+    return rounded(centroids.windowed(image(spark, sf_dir), stars(spark).withColumn("image_id", F.lit("all")), 1.5), 5)
+
+
+@query()
+def centroid_gaussian(spark, sf_dir):
+    scene = psf.render(image(spark, sf_dir), stars(spark).withColumn("flux", 1000.0 * F.col("id")), 1.5, 8).withColumn("value", F.col("model")).withColumn("mask", F.lit(False))
+    return rounded(centroids.gaussian_fit(scene, stars(spark).withColumn("image_id", F.lit("all"))), 4)
+
+
 @query()
 def centroid_quadratic(spark, sf_dir):
     pixels = image(spark, sf_dir).withColumn("mask", F.lit(False))
@@ -504,6 +520,12 @@ def source_groups(spark, sf_dir):
     return psf.groups(points, 2.0)
 
 
+@query()
+def psf_repeated(spark, sf_dir):
+    scene = psf.render(image(spark, sf_dir), stars(spark).withColumn("flux", 1000.0 * F.col("id")), 1.5, 6).withColumn("value", F.col("model")).withColumn("error", F.lit(1.0)).withColumn("mask", F.lit(False)).drop("model")
+    return rounded(finders.repeated_photometry(scene, 5.0, 1.5, 2).select("image_id", "id", "round", "x_fit", "y_fit", "flux_fit"), 2)
+
+
 @query()
 def psf_fit(spark, sf_dir):
     truth = stars(spark).withColumn("flux", 1000.0 * F.col("id"))
