@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings
+from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings, written
 
 TOP, SHARED = 6, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +212,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     share = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, max_train / max(1, sizes.get(k, 0)))))])
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < F.try_element_at(share, F.col("toxic")) * (1 << 20))
+    # about 2 * max_train ids at most, so that texts need not be shuffled to meet them
+    chosen = F.broadcast(written(chosen, "chosen"))
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["text"])
+    sample = written(sample, "sample")
     rows = counted(sample.where(fold != 1)).toArrow()
     learned = bool(rows.num_rows) and {0, 1} <= set(sizes)
     model, weights = None, None
