@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import batches_of, strings, written
+from pixelloom.llm.common import batches_of, lean, strings, written
 from pixelloom.llm.tokens import encoder, with_end
 
 FORMAT = "shard int, block int, first_id long, n_ids int, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
@@ -54,9 +54,10 @@ def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", bounds: np.ndarray | None = None) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, with the end id), the text's hash and shard, the place of doc_id between bounds, for each document."""
     bounds = np.zeros(0, np.int64) if bounds is None else bounds
+    lean(docs.sparkSession)
 
     def run(batches):
-        for batch in batches_of(batches, 6 << 20):
+        for batch in batches_of(batches, 3 << 20):
             ids, starts = with_end(*encoder(tokenizer, cut)(strings(batch)), end_id)
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.astype(np.int64) * 4), pa.py_buffer(ids.astype("<u4"))])
             shard = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)

@@ -33,6 +33,13 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of texts of at most so many rows, unless the session asks for fewer: memory of tasks goes with them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def beside(df: DataFrame, most: int = 4_000_000) -> DataFrame:
     """A written table of ids, marked for broadcast while it has at most that many rows; beyond, joins with it are shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -96,7 +103,7 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(batches, most: int = 2 << 20, column: str = "text"):
+def batches_of(batches, most: int = 1 << 20, column: str = "text"):
     """Record batches cut so that a piece's texts have about `most` bytes; a longer text is a piece of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
@@ -107,6 +114,7 @@ def batches_of(batches, most: int = 2 << 20, column: str = "text"):
             to = max(at + 1, int(np.searchsorted(ends, below + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 #: Bases of the polynomial hashes of words and word sequences; any odd numbers do.

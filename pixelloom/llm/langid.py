@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings
+from pixelloom.llm.common import batches_of, code_points, crc_of, lean, segment_sums, strings
 
 ORDERS = (1, 2, 3)
 
@@ -96,6 +96,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[st
 def identify(docs: DataFrame, keep: list[str] | None = None, extra: tuple[str, str] = ("lang_pred", "score"), **options) -> DataFrame:
     """Learns from the rows whose crc32(doc_id) mod 3 is not 1 and predicts all rows; held_out marks the rest. extra: names of the new columns, for tables that have such names already."""
     fold = F.pmod(crc_of(), F.lit(3)) != 1
+    lean(docs.sparkSession)
     names, matrix = train(docs, fold=fold & F.col("doc_id").isNotNull(), **options)
     scored = predict(docs, names, matrix, keep or ["doc_id"], extra)
     return scored.withColumn("held_out", ~fold) if "held_out" not in scored.columns else scored

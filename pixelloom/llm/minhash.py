@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import BASE, BASE2, batches_of, beside, mixed, powers, ranged_hashes, strings, word_hashes, written
+from pixelloom.llm.common import BASE, BASE2, batches_of, beside, lean, mixed, powers, ranged_hashes, strings, word_hashes, written
 from pixelloom.llm.components import components
 
 WORDS = 5
@@ -199,6 +199,7 @@ def without_duplicates(docs: DataFrame, **options) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class) and kept (whether it is that document) for each row."""
     docs = docs.select("doc_id", "text")
+    lean(docs.sparkSession)
     least = threshold - 4 * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
     marks = written(signed(docs, bands, rows), "signed")
     prints = marks.where("bands is not null and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc"))

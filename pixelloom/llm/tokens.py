@@ -47,7 +47,7 @@ class ChunkEncoder:
     Keeps at most about `limit` words, those of the last batch first.
     """
 
-    def __init__(self, path: str, cut: str, limit: int = 500_000):
+    def __init__(self, path: str, cut: str, limit: int = 300_000):
         self.tokenizer, self.cut, self.limit, self.ids = Tokenizer.from_file(path), cut, limit, {"": b""}
         self.letters = byte_letters()
 

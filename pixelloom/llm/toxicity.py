@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings, written
+from pixelloom.llm.common import batches_of, code_points, crc_of, lean, segment_sums, strings, written
 
 TOP, SHARED = 6, 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -50,7 +50,7 @@ def counted(docs: DataFrame) -> DataFrame:
     """Order, place at a word's start, gram, context and suffix hashes and numbers of documents by class of all n-grams of docs (text, toxic): repeated lines add nothing."""
 
     def run(batches):
-        for batch in batches_of(batches, 4 << 20):
+        for batch in batches_of(batches):
             points, starts = code_points(strings(batch))
             toxic = np.repeat(batch.column(1).to_numpy(), np.diff(starts))
             own = np.repeat(np.arange(len(starts) - 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.diff(starts))
@@ -207,6 +207,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 4 is 2), score and predicted for each row of docs."""
     spark = docs.sparkSession
+    lean(spark)
     fold = F.pmod(crc_of(), F.lit(4))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 2)
     sizes = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
@@ -226,7 +227,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
-        for batch in batches_of(batches, 4 << 20):
+        for batch in batches_of(batches):
             x = features(shared.value, strings(batch))
             yield pa.record_batch([batch.column(1), *(pa.array(c) for c in x.T)], names=["y", "a", "b", "c", "d"])
 
@@ -239,7 +240,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
             weights[-1] += np.log(drawn[0] / drawn[1])
 
     def apply(batches):
-        for batch in batches_of(batches, 4 << 20):
+        for batch in batches_of(batches):
             texts = strings(batch)
             score = np.zeros(len(texts))
             if learned:
