@@ -17,7 +17,7 @@ from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
 STARS = [(1, 8.3, 9.7), (2, 16.0, 15.0), (3, 22.45, 7.2), (4, 30.6, 30.1), (5, 1.2, 20.9)]
-VALUES = ", ".join(f"({i}, {x}::double, {y}::double)" for i, x, y in STARS)
+VALUES = ", ".join(f"({i}::bigint, {x}::double, {y}::double)" for i, x, y in STARS)
 FAR = "(select max(value) * 0.8 from img)"
 
 
