@@ -259,6 +259,16 @@ def test_near_duplicates(docs, rows, spark):
     assert minhash.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_repeated_line(spark):
+    rng = np.random.default_rng(8)
+    made = []
+    for i in range(40):
+        head, line = (" ".join(f"{k}{i}x{w}" for w in rng.permutation(1000)[:n]) for k, n in (("h", 28), ("l", 8)))
+        made += [(3 * i + k, f"{head} {line} " + f"{line} " * times) for k, times in enumerate((1, 2, 303))]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == classes(dict(made)) == {i: i - i % 3 for i in range(120)}
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 1 << 50, 400).astype(np.uint64)
