@@ -2,12 +2,14 @@
 
 Texts and benchmark items become templates: numbers, units after numbers and names (capitalised words within a
 sentence) turn into typed placeholders, the rest into lower-case words without punctuation. Windows of
-`window` template words are hashed and joined. A document that has at least `share` of an item's windows is a
-candidate; at the shift where most of its windows agree with the item, every placeholder's value in the item must
-stand for one value in the document, so that re-parameterised copies are caught and loose look-alikes are not.
-
-Defined results: a null or empty text matches nothing; items with fewer words than a window match nothing;
-items of the same text each match; rows that repeat a document or an item count once; other columns are ignored.
+`window` template words, and of the case-folded words themselves, are hashed and joined. A pair counts if
+the document has at least `share` of the item's windows, `run` of them one after another, or windows over `cover` of the
+item's words. If the words themselves reach that, nothing more is asked; if only the template does, every placeholder's
+value in the item must stand for one value in the document, so that re-parameterised copies are caught and
+loose look-alikes are not. A placeholder is looked up by the matching windows over it, so insertions may move it.
+
+Defined results: a null or empty text matches nothing; an item with fewer words than a window matches where all its
+words follow one another, in any case; items of the same text each match; rows that repeat a document or an item count once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,48 +43,99 @@ def template(text: Column) -> Column:
     return words(F.lower(F.regexp_replace(unit, rf"[0-9]+(?:{POINT}[0-9]+)*", "<num>")))
 
 
+def folded(text: Column) -> Column:
+    """Lower-case words; the word in each place of template()."""
+    return words(F.lower(spaced(text)))
+
+
+def windows_of(hashes: str, size: int) -> Column:
+    made = F.transform(F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size))))
+    return F.when(F.size(hashes) >= size, made)
+
+
 def with_windows(rows: DataFrame, window: int) -> DataFrame:
-    """rows (text) with template, windows. To be opened with explode_outer: explode would have Spark test the arrays in a filter of its own, computed once more."""
-    rows = rows.withColumn("template", template(F.col("text")))
-    rows = rows.withColumn("hashes", F.transform("template", lambda w: F.xxhash64(w)))
-    made = F.transform(F.sequence(F.lit(0), F.size("hashes") - window), lambda i: F.xxhash64(*(F.get("hashes", i + k) for k in range(window))))
-    return rows.withColumn("windows", F.when(F.size("hashes") >= window, made))
+    """rows (text) with template, values (case-folded), the hashes of their words, and windows of both. To be opened with explode_outer: explode would have Spark test the arrays in a filter of its own, computed once more."""
+    rows = rows.withColumn("template", template(F.col("text"))).withColumn("values", folded(F.col("text")))
+    rows = rows.withColumn("hashes", F.transform("template", lambda w: F.xxhash64(w))).withColumn("plain", F.transform("values", lambda w: F.xxhash64(w)))
+    return rows.withColumn("windows", windows_of("hashes", window)).withColumn("verbatim", windows_of("plain", window))
+
+
+def of_kind(kind: str):
+    return lambda e: e["kind"] == kind
 
 
-def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: float = 0.5, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, text_hash, item_id, matched (distinct windows), item_windows, share, slots, consistent for each pair found; only consistent ones.
+def longest(places: Column) -> Column:
+    """The longest run of consecutive numbers in an array of distinct ones."""
+    start = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(s, p):
+        run = F.when(p == s["last"] + 1, s["run"] + 1).otherwise(F.lit(1))
+        return F.struct(p.alias("last"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda s: s["best"])
+
+
+def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: float = 0.5, broadcast_rows: int = 500_000, run: int = 8, cover: float = 0.8) -> DataFrame:
+    """doc_id, text_hash, item_id, matched (distinct windows), item_windows, share, slots, consistent for each pair found; only verbatim or consistent ones.
 
     The items' windows are broadcast while they are at most `broadcast_rows`; beyond, both sides are shuffled.
     """
     rows = keyed(docs)
     asked = with_windows(items.select("item_id", "text").where("item_id is not null").dropDuplicates(["item_id", "text"]), window)
-    lines = asked.select("item_id", F.posexplode_outer("windows").alias("place", "hash")).where("hash is not null")
+    asked = asked.withColumn("n_words", F.size("values")).where(F.get("values", F.lit(0)) != "")
+    brief = sorted(r["n_words"] for r in asked.where(F.col("n_words") < window).select("n_words").distinct().collect())
+    whole = F.when(F.col("n_words") >= window, F.col("verbatim"))
+    for n in brief:
+        whole = F.when(F.col("n_words") == n, windows_of("plain", n)).otherwise(whole)
+    lines = asked.select("item_id", F.lit("t").alias("kind"), F.posexplode_outer("windows").alias("place", "hash")).union(asked.select("item_id", F.lit("v"), F.posexplode_outer(whole))).where("hash is not null").distinct()
     distinct = lines.select("item_id", "hash").distinct()
     bounded = distinct.count() <= broadcast_rows
     small = (lambda df: F.broadcast(df)) if bounded else (lambda df: df)
     known = distinct.groupBy("hash").agg(F.collect_set("item_id").alias("items"))
-    seen = with_windows(rows, window).select(*KEY, F.explode_outer("windows").alias("hash"))
-    hits = seen.join(small(known), "hash").groupBy(*KEY, "hash").agg(F.first("items").alias("items")).select(*KEY, F.explode("items").alias("item_id")).groupBy(*KEY, "item_id").agg(F.count("*").alias("matched"))
-    totals = distinct.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    pairs = hits.join(small(totals), "item_id").where(F.col("matched") >= F.lit(share) * F.col("item_windows"))
-
-    # where the item lies in the document: the shift at which most windows agree
-    chosen = rows.join(pairs, KEY)
-    full = with_windows(chosen, window).withColumn("values", words(spaced(F.col("text")))).drop("text", "hashes")
-    shifts = full.select(*KEY, "item_id", F.posexplode_outer("windows").alias("at", "hash")).join(small(lines), ["item_id", "hash"]).groupBy(*KEY, "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.count("*").alias("agree"))
-    best = shifts.groupBy(*KEY, "item_id").agg(F.max(F.struct("agree", (-F.col("shift")).alias("back"))).alias("best")).select(*KEY, "item_id", (-F.col("best.back")).alias("shift"))
+    looked = with_windows(rows, window)
+    none = F.array().cast("array<bigint>")
+    both = [F.coalesce(c, none) for c in (F.col("windows"), F.col("verbatim"), *(windows_of("plain", n) for n in brief))]
+    seen = looked.select(*KEY, F.explode_outer(F.concat(*both)).alias("hash"))
+    hits = seen.join(small(known), "hash").groupBy(*KEY, "hash").agg(F.first("items").alias("items")).select(*KEY, F.explode("items").alias("item_id")).groupBy(*KEY, "item_id").agg(F.count("*").alias("hits"))
+    totals = lines.groupBy("item_id").agg(*(F.count_distinct(F.when(F.col("kind") == k, F.col("hash"))).alias(f"all_{k}") for k in "tv")).join(asked.groupBy("item_id").agg(F.min("n_words").alias("n_words")), "item_id")
+    # so many windows at least in any pair that one of the rules below accepts
+    fewest = F.least(F.lit(float(run)), *(F.lit(share) * F.when(F.col(f"all_{k}") > 0, F.col(f"all_{k}")) for k in "tv"), F.lit(cover / window) * F.col("n_words"))
+    pairs = hits.join(small(totals), "item_id").where(F.col("hits") >= fewest)
+
+    # where the item's windows lie in the document: places by shift
+    pair = [*KEY, "item_id"]
+    full = with_windows(rows.join(pairs, KEY), window)
+    at = None
+    for kind, column in (("t", F.col("windows")), ("v", F.col("verbatim")), *(("v", windows_of("plain", n)) for n in brief)):
+        opened = full.select(*pair, F.lit(kind).alias("kind"), F.posexplode_outer(column).alias("at", "hash"))
+        at = opened if at is None else at.union(opened)
+    shifts = at.join(small(lines), ["item_id", "kind", "hash"]).groupBy(*pair, "kind", (F.col("at") - F.col("place")).alias("shift")).agg(F.collect_set("place").alias("places"), F.collect_set("hash").alias("codes"))
+    shifts = shifts.withColumn("run", longest(F.col("places")))
+    placed = shifts.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct((-F.size("places")).alias("order"), "shift", "kind", "places", "codes", "run"))).alias("shifts"))
+    placed = full.select(*pair, "all_t", "all_v", "n_words", "template", words(spaced(F.col("text"))).alias("stood")).join(placed, pair)
+    for k in "tv":
+        placed = placed.withColumn(k, F.filter("shifts", of_kind(k)))
+        inside = F.flatten(F.transform(F.array_distinct(F.flatten(F.transform(k, lambda e: e["places"]))), lambda p: F.sequence(p, p + window - 1)))
+        placed = placed.withColumn(f"matched_{k}", F.size(F.array_distinct(F.flatten(F.transform(k, lambda e: e["codes"])))))
+        placed = placed.withColumn(f"share_{k}", F.coalesce(F.try_divide(f"matched_{k}", f"all_{k}"), F.lit(0.0)))
+        long = F.coalesce(F.array_max(F.transform(k, lambda e: e["run"])), F.lit(0)) >= run
+        placed = placed.withColumn(f"holds_{k}", (F.col(f"share_{k}") >= share) | (F.size(F.array_distinct(inside)) >= F.lit(cover) * F.col("n_words")) | long)
     slots = asked.select("item_id", F.posexplode_outer(F.arrays_zip(F.col("template"), words(spaced(F.col("text"))).alias("value"))).alias("place", "slot")).where(F.col("slot.template").isin(*SLOTS))
     slots = slots.select("item_id", "place", F.col("slot.template").alias("kind"), F.col("slot.value").alias("value"))
     lists = slots.groupBy("item_id").agg(F.collect_list(F.struct("place", "kind", "value")).alias("slots"))
-    placed = full.join(best, [*KEY, "item_id"]).join(lists, "item_id", "left")
-    there = F.transform(
-        F.filter(F.coalesce("slots", F.array().cast(lists.schema["slots"].dataType)), lambda s: F.get("template", s["place"] + F.col("shift")) == s["kind"]),
-        lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), F.get("values", s["place"] + F.col("shift")).alias("stands")),
-    )
-    placed = placed.withColumn("there", F.array_distinct(there))
+    placed = placed.where("holds_t or holds_v").join(lists, "item_id", "left")
+
+    def stands(s):
+        """The document's word for a slot, at the shift of most windows among those with a window over the slot."""
+        over = F.filter("t", lambda e: F.exists(e["places"], lambda p: (p <= s["place"]) & (p + window > s["place"])))
+        return F.get("stood", s["place"] + F.get(over, F.lit(0))["shift"])
+
+    there = F.transform(F.coalesce("slots", F.array().cast(lists.schema["slots"].dataType)), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), stands(s).alias("stands")))
+    placed = placed.withColumn("there", F.array_distinct(F.filter(there, lambda s: s["stands"].isNotNull())))
     one = F.size(F.array_distinct(F.transform("there", lambda s: F.struct(s["kind"], s["value"])))) == F.size("there")
-    out = placed.select(doc_id(), KEY[1], "item_id", "matched", "item_windows", (F.col("matched") / F.col("item_windows")).alias("share"), F.size("there").alias("slots"), one.alias("consistent"))
-    return out.where("consistent").distinct()
+    placed = placed.withColumn("best", F.when(F.col("share_t") >= F.col("share_v"), F.struct(F.col("matched_t").alias("matched"), F.col("all_t").alias("all"))).otherwise(F.struct(F.col("matched_v").alias("matched"), F.col("all_v").alias("all"))))
+    out = placed.select(doc_id(), KEY[1], "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.all").alias("item_windows"), F.greatest("share_t", "share_v").alias("share"), F.size("there").alias("slots"), one.alias("consistent"), "holds_t", "holds_v")
+    return out.where("holds_v or (holds_t and consistent)").drop("holds_t", "holds_v").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -221,6 +221,20 @@ def test_contamination(spark):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_contamination_in_part(spark):
+    long = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ado", "eno", "iru", "olu", "uma")][:59]
+    short = [f"{a}{b}" for a in "bdfgk" for b in ("alet", "enit", "ovir")]
+    named = "in march old Anna paid 12 dollars to Bruno for rope while Anna slept near the Elbe with Bruno"
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(short)), (3, named), (4, "Quick brown vixen")], "item_id long, text string")
+    texts = [
+        (1, "so it said " + " ".join(long[10:40]) + " and no more"), (2, " ".join([*short[:7], "other", *short[8:]])), (3, named.lower()), (4, named.upper()),
+        (5, named.replace("while Anna", "while Anma")), (6, named.replace("rope while", "rope and twine while").replace("12", "15").replace("Anna", "Clara").replace("Bruno", "David")),
+        (7, "a QUICK brown vixen ran"), (8, "a quick brown old vixen ran"), (9, " ".join(long[10:20])), (10, named.replace("old Anna", "old Clara").replace("12", "15").replace("to Bruno", "to David")),
+    ]
+    found = decontam.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (2, 2), (3, 3), (4, 3), (5, 3), (6, 3), (7, 4)}
+
+
 def classes(texts: dict) -> dict:
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)]) for i, w in ((i, t.lower().split()) for i, t in texts.items()) if w}
     top = {i: i for i in texts}
