@@ -516,7 +516,7 @@ def residual_image(spark, sf_dir):
 
 @query()
 def source_groups(spark, sf_dir):
-    points = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 10").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 100).alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 100).alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
     return psf.groups(points, 2.0)
 
 
