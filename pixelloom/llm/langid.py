@@ -1,12 +1,12 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed n-grams per language are made by tasks and summed by Spark; the log-probability
-matrix (languages x buckets, so of bounded size) is broadcast, and texts are scored by batches as a
+matrix (languages x buckets) is broadcast, and texts are scored by batches as a
 sparse product: each n-gram of a text is one entry of its row.
 
-Training uses about `max_train` documents, spread evenly over the languages by hash of the id; this bound is a
-parameter. Defined results: a null text, or one without a letter, is `und` with score 0; so is every
-text when nothing was learned; languages beyond the `max_languages` most frequent are not learned;
+Training uses about `max_train` documents, spread evenly over the languages by hash of the id, but at least
+`least_each` of each language that has them; every label is learned, and the bounds on rows are parameters. Defined results: a null text, or one without a letter, is `und` with score 0; so is every
+text when nothing was learned;
 ties go to the first language in order of name; rows that repeat a document are scored on their own.
 """
 
@@ -37,28 +37,26 @@ def hashed_ngrams(points: np.ndarray, starts: np.ndarray, bits: int):
             yield ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32), left >= n
 
 
-def train(docs: DataFrame, label: str = "lang", fold=None, bits: int = 15, max_train: int = 20_000, max_languages: int = 64, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, label: str = "lang", fold=None, bits: int = 15, max_train: int = 20_000, least_each: int = 312, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and their log-probability matrix (buckets x languages). fold: a condition on the rows to learn from."""
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     rows = rows.where(fold) if fold is not None else rows
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_languages).collect()
+    counts = rows.groupBy(label).count().collect()
     if not counts:
         return [], np.zeros((1 << bits, 0), np.float32)
     names = sorted(r[label] for r in counts)
-    each = max_train / len(names)
+    each = max(max_train / len(names), least_each)
     share = F.create_map(*[x for r in counts for x in (F.lit(r[label]), F.lit(min(1.0, each / r["count"])))])
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.try_element_at(share, F.col(label)) * (1 << 20))
 
     def count(batches):
-        total = np.zeros((len(names), 1 << bits), np.int64)
         for batch in batches_of(batches):
             points, starts = code_points(strings(batch))
             which = pc.index_in(batch.column(1), pa.array(names)).to_numpy(zero_copy_only=False).astype(np.int64)
             lang = np.repeat(which, np.diff(starts))
             for bucket, inside in hashed_ngrams(points, starts, bits):
-                total += np.bincount((lang << bits | bucket)[inside], minlength=total.size).reshape(total.shape)
-        k, b = np.nonzero(total)
-        yield pa.record_batch([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[k, b])], names=["k", "bucket", "n"])
+                key, n = np.unique((lang << bits | bucket)[inside], return_counts=True)
+                yield pa.record_batch([pa.array((key >> bits).astype(np.int32)), pa.array((key & (1 << bits) - 1).astype(np.int32)), pa.array(n.astype(np.int64))], names=["k", "bucket", "n"])
 
     summed = sample.select("text", label).mapInArrow(count, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.full((len(names), 1 << bits), smoothing)

@@ -158,6 +158,12 @@ def test_language(docs, rows):
     assert langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_many_languages(spark):
+    made = [(10 * k + i, " ".join(chr(0x4E00 + 50 * k + (7 * i + j) % 50) * 2 for j in range(60)), f"l{k:03}") for k in range(70) for i in range(10)]
+    got = langid.identify(spark.createDataFrame(made, "doc_id long, text string, lang string"), keep=["doc_id", "lang"]).collect()
+    assert len(got) == 700 and all(r.lang == r.lang_pred for r in got)
+
+
 def test_toxicity(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "theta", "kappa"]
     rng = np.random.default_rng(1)
