@@ -17,32 +17,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where the session names none."""
+    """The folder that driver and executors share, as the session names it. Only a local session that names none gets a temporary one; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pixelloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df as a table in the shared folder: computed once, and safe against lost executors."""
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, rows: int = 1000, **options) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe against lost executors. rows: Arrow batches of at most so many, for the while of writing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(ROWS_KEY)
+    try:
+        if not 0 < int(before) <= rows:
+            spark.conf.set(ROWS_KEY, str(rows))
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(ROWS_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lean(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of texts of at most so many rows, unless the session asks for fewer: memory of tasks goes with them."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def beside(df: DataFrame, most: int = 4_000_000, weight=None) -> DataFrame:
+    """A written table of ids, marked for broadcast while it has at most that many rows (or that sum of weight); beyond, joins with it are shuffled."""
+    small = df.limit(most + 1).count() <= most if weight is None else (df.agg(F.sum(weight)).first()[0] or 0) <= most
+    return F.broadcast(df) if small else df
 
 
-def beside(df: DataFrame, most: int = 4_000_000) -> DataFrame:
-    """A written table of ids, marked for broadcast while it has at most that many rows; beyond, joins with it are shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with signs added until df has no such column (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def crc_of(column: str = "doc_id"):
@@ -52,7 +67,7 @@ def crc_of(column: str = "doc_id"):
 
 #: Stands for a null doc_id in joins.
 NO_ID = -(1 << 63)
-#: Columns that name a row of documents: rows with the same doc_id and text are one. No column of a table may have these names.
+#: Columns that name a row of documents in tables of our own: rows with the same doc_id and text are one.
 KEY = ["_doc_key", "_text_hash"]
 
 
@@ -66,9 +81,12 @@ def doc_id():
     return F.nullif(F.col(KEY[0]), F.lit(NO_ID)).alias("doc_id")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs with KEY beside their columns."""
-    return docs.withColumns({KEY[0]: F.coalesce("doc_id", F.lit(NO_ID)), KEY[1]: F.xxhash64(F.coalesce("text", F.lit("")))})
+def joined_by_key(docs: DataFrame, other: DataFrame, how: str, keep: tuple[str, ...] = (), weight=None) -> tuple[DataFrame, list[str]]:
+    """docs joined with a written table (KEY, keep) by what names a row, and the names that keep got; names that docs has already stay its own. weight: as beside() has it."""
+    own, there, *names = fresh(docs, "_own_key", "_own_hash", *KEY, *keep)
+    left = docs.withColumns({own: F.coalesce("doc_id", F.lit(NO_ID)), there: F.xxhash64(F.coalesce("text", F.lit("")))})
+    right = beside(other, weight=weight).select(*(F.col(c).alias(n) for c, n in zip((*KEY, *keep), names, strict=True)))
+    return left.join(right, (F.col(own) == F.col(names[0])) & (F.col(there) == F.col(names[1])), how).drop(own, there, names[0], names[1]), names[2:]
 
 
 def strings(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
@@ -103,15 +121,15 @@ def segment_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def batches_of(batches, most: int = 1 << 20, column: str = "text"):
-    """Record batches cut so that a piece's texts have about `most` bytes; a longer text is a piece of its own."""
+def batches_of(batches, most: int = 1 << 20, column: str = "text", rows: int = 8192):
+    """Record batches cut so that a piece has at most `rows` rows and its texts about `most` bytes; a longer text is a piece of its own."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         at = 0
         while at < batch.num_rows:
             below = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, below + most, "right")))
+            to = min(at + rows, max(at + 1, int(np.searchsorted(ends, below + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
     pa.default_memory_pool().release_unused()

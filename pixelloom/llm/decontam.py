@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import KEY, NO_ID, beside, doc_id, keyed, with_key, written
+from pixelloom.llm.common import KEY, NO_ID, beside, doc_id, joined_by_key, keyed, written
 
 #: Units of measure that are placeholders after a number.
 UNITS = "km|m|cm|mm|kg|g|mg|t|lb|lbs|oz|mi|mile|miles|ft|feet|inch|inches|h|hour|hours|min|minute|minutes|s|sec|second|seconds|day|days|week|weeks|month|months|year|years|percent|usd|eur|dollar|dollars|euro|euros|cent|cents|l|ml|liter|liters|litre|litres|mph|kmh|kw|w|v|hz"
@@ -141,4 +141,4 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: floa
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that contain an item; all columns stay."""
     found = written(contaminated(docs, items, **options).select(F.coalesce("doc_id", F.lit(NO_ID)).alias(KEY[0]), KEY[1]).distinct(), "found")
-    return with_key(docs).join(beside(found), KEY, "left_anti").select(*docs.columns)
+    return joined_by_key(docs, found, "left_anti")[0].select(*docs.columns)
