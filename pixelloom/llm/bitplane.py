@@ -3,9 +3,12 @@
 File format: a Parquet folder with one row a block. Columns: shard and block number, first id of the
 block within its shard, number of ids, `planes` (the zstd frames, lowest plane first; ids are as
 wide as the block's largest one needs), and the chunk index: for each document with ids in the block
-its doc_id, start within the shard and length. Shards hold ascending ranges of doc_id, and ids run on
+its doc_id, start within the shard and length. Shards hold ascending ranges of (doc_id, text's hash, row), and ids run on
 over the blocks of a shard, so a block can be decoded alone and a document found without decoding.
 
+Shards are the ranges of one range partitioning, so a doc_id that many rows share, or none, is dealt over several; their
+number follows the ids, up to MOST_SHARDS, beyond which shards grow, and a task streams its shard in any case.
+
 Defined results: a null text is an empty one (it still has its end id); a null doc_id sorts first;
 rows that repeat a doc_id are documents of their own, in order of their text's hash; an empty table
 gives no rows; other columns are ignored.
@@ -16,13 +19,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import batches_of, lean, strings, written
-from pixelloom.llm.tokens import encoder, with_end
+from pixelloom.llm.common import batches_of, strings, written
+from pixelloom.llm.tokens import encoder, id_type, with_end
 
 FORMAT = "shard int, block int, first_id long, n_ids int, planes array<binary>, doc_ids array<long>, doc_starts array<long>, doc_lengths array<long>"
+MOST_SHARDS = 50_000
 
 
 def to_planes(ids: np.ndarray, kind: str = "bit", level: int = 3) -> list[bytes]:
@@ -51,46 +55,41 @@ def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
     return octets.view("<u4").ravel()
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", bounds: np.ndarray | None = None) -> DataFrame:
-    """doc_id, ids (little-endian 32-bit, with the end id), the text's hash and shard, the place of doc_id between bounds, for each document."""
-    bounds = np.zeros(0, np.int64) if bounds is None else bounds
-    lean(docs.sparkSession)
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank") -> DataFrame:
+    """Of each document, as a written table: doc_id, ids (with the end id, as id_type() says), n_tokens, its text's hash and a number of its row."""
+    kind = id_type(tokenizer, end_id)
+    width = int(kind[-1])
 
     def run(batches):
         for batch in batches_of(batches, 3 << 20):
             ids, starts = with_end(*encoder(tokenizer, cut)(strings(batch)), end_id)
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.astype(np.int64) * 4), pa.py_buffer(ids.astype("<u4"))])
-            shard = np.searchsorted(bounds, batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(), "left").astype(np.int32)
-            yield pa.record_batch([batch.column(0), data.cast(pa.binary()), batch.column(2), pa.array(shard)], names=["doc_id", "ids", "text_hash", "shard"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, ids binary, text_hash long, shard int")
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(starts.astype(np.int64) * width), pa.py_buffer(ids.astype(kind))])
+            yield pa.record_batch([batch.column(0), data.cast(pa.binary()), pa.array(np.diff(starts).astype(np.int64)), batch.column(2)], names=["doc_id", "ids", "n_tokens", "text_hash"])
 
+    made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, text_hash long")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "ids")
 
-def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", block: int = 1 << 16, docs_per_shard: int = 1 << 13, kind: str = "bit") -> DataFrame:
-    """Writes the ids of all documents in ascending doc_id order; returns the written table of FORMAT.
 
-    Shards are ranges of doc_id between quantiles of that column, about docs_per_shard documents each;
-    only those bounds reach the driver.
-    """
-    shards = -(-docs.count() // docs_per_shard)
-    cuts = docs.select(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 10 * shards)).first()[0] if shards > 1 else []
-    bounds = np.array(sorted(set(cuts or [])), np.int64)
+def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", block: int = 1 << 16, ids_per_shard: int = 1 << 22, kind: str = "bit") -> DataFrame:
+    """Writes the ids of all documents in ascending doc_id order; returns the written table of FORMAT."""
+    ids, width = encoded(docs, tokenizer, end_id, cut), id_type(tokenizer, end_id)
+    total = ids.agg(F.sum("n_tokens")).first()[0] or 0
+    shards = max(1, -(-total // max(ids_per_shard, -(-total // MOST_SHARDS))))
 
     def blocks(batches):
         part = None
         for batch in batches:
             for shard, doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if part is None or part.shard != shard:
-                    if part:
-                        yield from part.rows(True)
+                if part is None:  # a task has one shard
                     part = Blocks(shard, block, kind)
-                part.add(doc, np.frombuffer(data.as_buffer(), "<u4"))
+                part.add(doc, np.frombuffer(data.as_buffer(), width))
                 yield from part.rows(False)
         if part:
             yield from part.rows(True)
 
-    ids = encoded(docs, tokenizer, end_id, cut, bounds)
-    return written(ids.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "doc_id", "text_hash").select("shard", "doc_id", "ids").mapInArrow(blocks, FORMAT), "bitplane", compression="none")
+    order = ["doc_id", "text_hash", "row"]
+    dealt = ids.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    return written(dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "ids").mapInArrow(blocks, FORMAT), "bitplane", compression="none")
 
 
 class Blocks:
@@ -128,26 +127,33 @@ class Blocks:
 
 
 def read_planes(blocks: DataFrame, kind: str = "bit") -> DataFrame:
-    """The documents of a written table: doc_id, start (ids of all documents before it), n_tokens and ids.
+    """The documents of a written table: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian 32-bit).
 
-    Blocks are decoded where they are read; only what a document has in each block is shuffled, by document.
+    Blocks are decoded where they are read. A document that lies in one block whole leaves the task as it is; only the parts
+    of documents that run over blocks, a few for each block, are shuffled.
     """
 
-    def pieces(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = from_planes(row["planes"], row["n_ids"], kind)
-                first, out = row["first_id"], []
-                for doc, start, length in zip(row["doc_ids"], row["doc_starts"], row["doc_lengths"], strict=True):
-                    a, b = max(start, first), min(start + length, first + row["n_ids"])
-                    out.append((row["shard"], doc, start, length, a, ids[a - first : b - first].tobytes()))
-                names = ["shard", "doc_id", "shard_start", "n_tokens", "at", "ids"]
-                types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-    parts = blocks.mapInArrow(pieces, "shard int, doc_id long, shard_start long, n_tokens long, at long, ids binary")
-    whole = parts.groupBy("shard", "shard_start", "doc_id", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    ids = F.when(F.size("parts") == 1, F.col("parts")[0]["ids"]).otherwise(F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])))
-    totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
-    before = totals.select("shard", (F.sum("shard_ids").over(Window.orderBy("shard")) - F.col("shard_ids")).alias("before"))
-    return whole.join(before, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", ids.alias("ids"))
+    def pieces(whole: bool):
+        def run(batches):
+            for batch in batches:
+                for one in range(batch.num_rows):
+                    row = batch.slice(one, 1).to_pylist()[0]
+                    ids, first = from_planes(row["planes"], row["n_ids"], kind), row["first_id"]
+                    start, length = np.array(row["doc_starts"], np.int64), np.array(row["doc_lengths"], np.int64)
+                    a, b = np.maximum(start, first), np.minimum(start + length, first + row["n_ids"])
+                    some = np.flatnonzero((b - a == length) == whole)
+                    if len(some):
+                        data = ids.tobytes()
+                        parts = [data[4 * (x - first) : 4 * (y - first)] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+                        columns = [pa.array(np.full(len(some), row["shard"], np.int32)), pa.array([row["doc_ids"][i] for i in some], pa.int64()), pa.array(start[some]), pa.array(length[some]), pa.array(a[some]), pa.array(parts, pa.binary())]
+                        yield pa.record_batch(columns, names=["shard", "doc_id", "shard_start", "n_tokens", "at", "ids"])
+
+        return blocks.mapInArrow(run, "shard int, doc_id long, shard_start long, n_tokens long, at long, ids binary")
+
+    key = ["shard", "shard_start", "doc_id", "n_tokens"]
+    cut = pieces(False).groupBy(*key).agg(F.expr("listagg(ids) within group (order by at)").alias("ids"))
+    # one row a shard, of which there are MOST_SHARDS at most
+    totals = sorted((r["shard"], r["n"]) for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
+    ends = np.cumsum([n for _, n in totals]).tolist()
+    before = blocks.sparkSession.createDataFrame([(s, e - n) for (s, n), e in zip(totals, ends, strict=True)], "shard int, before long")
+    return pieces(True).select(*key, "ids").unionByName(cut).join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids")

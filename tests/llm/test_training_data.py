@@ -58,7 +58,7 @@ def test_planes(kind):
 
 def test_bitplane_round_trip(docs, rows, empty):
     t = Tokenizer.from_file(WORD)
-    got = bitplane.read_planes(bitplane.write_planes(docs, WORD, 1, block=1000, docs_per_shard=30)).orderBy("start").collect()
+    got = bitplane.read_planes(bitplane.write_planes(docs, WORD, 1, block=1000, ids_per_shard=9000)).orderBy("start").collect()
     want, at = [], 0
     for doc, text in sorted(rows, key=lambda r: r[0]):
         ids = [*t.encode(text, add_special_tokens=False).ids, 1]
@@ -70,7 +70,7 @@ def test_bitplane_round_trip(docs, rows, empty):
 
 def test_packing(docs, rows, empty):
     t = Tokenizer.from_file(BYTE)
-    pieces = packing.pack(docs, BYTE, 0, docs_per_group=40).collect()
+    pieces = packing.pack(docs, BYTE, 0, ids_per_group=40_000).collect()
     whole = Counter()
     seqs: dict = {}
     for p in pieces:
@@ -116,6 +116,32 @@ def test_vectors(spark):
     assert cover_tree.link_vectors(table.limit(0)).count() == 0
 
 
+def test_cover_tree():
+    """Nesting, separation, covering and measured radii, over scales from 1 to 1e-6."""
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(40, 16))
+    x = np.repeat(c, 20, 0) + rng.normal(size=(800, 16)) * rng.choice([1e-6, 1e-3, 0.05, 0.3], 800)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    t, order = cover_tree.Tree.build(x)
+    assert (t.x == x[order]).all() and sorted(order) == list(range(800))
+    for k in range(len(t.nodes)):
+        own = t.x[t.low[k] : t.high[k]]
+        assert t.radius[k] == pytest.approx(np.linalg.norm(own - t.x[t.centre[k]], axis=1).max(), abs=1e-12)
+        if t.first[k] < 0:
+            assert len(own) == 1
+            continue
+        ch = np.arange(t.first[k], t.last[k])
+        scale = 2.0 ** (math.ceil(math.log2(t.radius[k])) - 1)
+        assert t.centre[ch[0]] == t.centre[k] and (t.radius[ch] <= scale * (1 + 1e-4)).all()
+        apart = np.linalg.norm(t.x[t.centre[ch]][:, None] - t.x[t.centre[ch]], axis=2) + 9 * np.eye(len(ch))
+        assert apart.min() > scale * (1 - 1e-4)
+    near = t.x @ t.x.T >= 0.95
+    np.fill_diagonal(near, False)
+    links = cover_tree.Links([np.ones(800, np.int64)], 0.95)
+    links.meet(t, 0, t, 0)
+    assert (links.sums == near.sum(axis=1)).all()
+
+
 def test_warc(spark):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>é</p>" * (i % 50)) for i in range(900)] + [(None, None, None), (5, "u", "again")], "page_id long, url string, html string")
     good = warc.records(pages)
