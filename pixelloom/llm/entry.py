@@ -17,8 +17,8 @@ def op1_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits the pages' records against a replica with known damage."""
-    good = warc.records(table(spark, sf_dir, "pages"))
-    return warc.audit(good, warc.damaged(good))
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.records(pages), warc.damaged(pages))
 
 
 OP2_SQL = """
