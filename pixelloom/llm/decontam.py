@@ -4,9 +4,9 @@ Texts and benchmark items become templates: numbers, units after numbers and nam
 sentence) turn into typed placeholders, the rest into lower-case words without punctuation. Windows of
 `window` template words, and of the case-folded words themselves, are hashed and joined. A pair counts if
 the document has at least `share` of the item's windows, `run` of them one after another, or windows over `cover` of the
-item's words. If the words themselves reach that, nothing more is asked; if only the template does, every placeholder's
-value in the item must stand for one value in the document, so that re-parameterised copies are caught and
-loose look-alikes are not. A placeholder is looked up by the matching windows over it, so insertions may move it.
+item's words. If the words themselves reach that, nothing more is asked; if only the template does, names must
+stand for names one to one, and equal numbers or units of the document for equal ones of the item (not the other way round, as two roles may have one
+number), so that re-parameterised copies are caught and loose look-alikes are not. A placeholder is looked up by the matching windows over it, so insertions may move it.
 
 Defined results: a null or empty text matches nothing; an item with fewer words than a window matches where all its
 words follow one another, in any case; items of the same text each match; rows that repeat a document or an item count once; other columns are ignored.
@@ -132,7 +132,9 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: floa
 
     there = F.transform(F.coalesce("slots", F.array().cast(lists.schema["slots"].dataType)), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"), stands(s).alias("stands")))
     placed = placed.withColumn("there", F.array_distinct(F.filter(there, lambda s: s["stands"].isNotNull())))
-    one = F.size(F.array_distinct(F.transform("there", lambda s: F.struct(s["kind"], s["value"])))) == F.size("there")
+    names, rest = F.filter("there", lambda s: s["kind"] == "<name>"), F.filter("there", lambda s: s["kind"] != "<name>")
+    said = lambda slots, *parts: F.size(F.array_distinct(F.transform(slots, lambda s: F.struct(*(s[p] for p in parts))))) == F.size(slots)
+    one = said(names, "value") & said(names, "stands") & said(rest, "kind", "stands")
     placed = placed.withColumn("best", F.when(F.col("share_t") >= F.col("share_v"), F.struct(F.col("matched_t").alias("matched"), F.col("all_t").alias("all"))).otherwise(F.struct(F.col("matched_v").alias("matched"), F.col("all_v").alias("all"))))
     out = placed.select(doc_id(), KEY[1], "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.all").alias("item_windows"), F.greatest("share_t", "share_v").alias("share"), F.size("there").alias("slots"), one.alias("consistent"), "holds_t", "holds_v")
     return out.where("holds_v or (holds_t and consistent)").drop("holds_t", "holds_v").distinct()
