@@ -7,10 +7,10 @@ log-likelihood ratio of its characters, normalised by length; a document's score
 function of its strongest words' evidence and of its whole length-normalised ratio, fitted on a fold
 of labelled rows that the counts have not seen.
 
-Labels are read from at most about `max_train` documents of each class (a parameter), chosen by hash of the
+Labels are read from at most about `max_train` documents and `max_chars` signs of each class (parameters), chosen by hash of the
 id; the model's tables are so bounded and broadcast. Whole texts of all documents are scored.
 Defined results: a null or empty text gets the score of a text without evidence; rows that repeat a
-document are scored on their own; a document with contradicting labels counts as toxic;
+document are scored on their own; a document with contradicting labels counts as toxic, and so does a text of documents with contradicting labels;
 without labels of both classes every score is 0.
 """
 
@@ -204,7 +204,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, max_chars: int = 32_000_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out (crc32 of the id mod 4 is 2), score and predicted for each row of docs."""
     spark = docs.sparkSession
     fold = F.pmod(crc_of(), F.lit(4))
@@ -214,8 +214,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, t
     chosen = marks.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < F.try_element_at(share, F.col("toxic")) * (1 << 20))
     # about 2 * max_train ids at most, so that texts need not be shuffled to meet them
     chosen = F.broadcast(written(chosen, "chosen"))
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic")).dropDuplicates(["text"])
-    sample = written(sample, "sample")
+    sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+    sample = written(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "sample")
+    sizes_of = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
+    part = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, max_chars / max(1, sizes_of.get(k) or 1))))])
+    sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("chars")), F.lit(1 << 20)) < F.try_element_at(part, F.col("toxic").cast("int")) * (1 << 20))
     rows = counted(sample.where(fold != 1)).toArrow()
     learned = bool(rows.num_rows) and {0, 1} <= set(sizes)
     model, weights = None, None
