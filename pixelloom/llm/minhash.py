@@ -14,9 +14,12 @@ yields its pairs. A larger one yields a star, all of its texts against one hub;
 several classes, they are compared in blocks on their whole sets, so that no link between classes is lost however
 large a bucket is, and a block yields only links that join classes.
 
+Copies of one text meet by the hash of its words; texts with very many copies, few by their number, are
+looked up in a broadcast table instead.
+
 Defined results: a null text, or one without a word, is a class of its own; a null doc_id has a null
-class and is kept; rows that repeat a document share its class; an empty table gives no rows; other columns are
-ignored.
+class and is kept; rows of one doc_id are one document, with all their texts, and without_duplicates() keeps one of them, whose
+text comes first by hash; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import BASE, BASE2, batches_of, beside, lean, mixed, powers, ranged_hashes, strings, word_hashes, written
+from pixelloom.llm.common import BASE, BASE2, batches_of, beside, fresh, mixed, powers, ranged_hashes, strings, word_hashes, written
 from pixelloom.llm.components import components
 
 WORDS = 5
@@ -101,17 +104,16 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def item_sets(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """(doc, items): the shingle sets, as 32 bits of each hash, of the documents in used (doc_id)."""
+    """(doc, items): the shingle sets, as hashes of BITS bits, of the documents in used (doc_id); a set for each text of a document."""
 
     def sets(batches):
         for batch in batches_of(batches):
             place, element, *_ = shingles(strings(batch))
             bounds = np.searchsorted(place, np.arange(batch.num_rows + 1))
-            element = element.astype("<u4")
             data = [element[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
             yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["doc", "items"])
 
-    return docs.join(beside(written(used.distinct(), "used")), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(sets, "doc long, items binary")
+    return docs.join(beside(written(used.distinct(), "used")), "doc_id").select("doc_id", "text").mapInArrow(sets, "doc long, items binary").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -121,7 +123,7 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (a, b))
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (a, b))
                 n = len(x) + len(y)
                 both = n - len(np.unique(np.concatenate([x, y]))) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
                 keep.append(both > 0 and both >= least * (n - both))
@@ -155,7 +157,7 @@ def blocks_of(open_members: DataFrame, items: DataFrame, least: float, block: in
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         x, y = int(rows.x.iloc[0]), int(rows.y.iloc[0])
         mine, theirs = rows[rows.part == x], rows[rows.part == y]
-        a, b = ([np.frombuffer(v, "<u4") for v in r["items"]] for r in (mine, theirs))
+        a, b = ([np.frombuffer(v, "<u8") for v in r["items"]] for r in (mine, theirs))
         joined = {c: c for c in rows["class"]}
 
         def top(c):
@@ -179,19 +181,39 @@ def blocks_of(open_members: DataFrame, items: DataFrame, least: float, block: in
 
 def without_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each class, the one with the smallest doc_id; all columns stay."""
-    dropped = written(near_duplicates(docs, **options).where("not kept").select("doc_id").distinct(), "dropped")
-    return docs.join(beside(dropped), "doc_id", "left_anti")
+    found = written(near_duplicates(docs, **options), "classes")
+    dropped = written(found.where("not kept").select("doc_id").distinct(), "dropped")
+    twice = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    left = docs.join(beside(dropped), "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return left
+    own, row, repeated = fresh(docs, "_own", "_row", "_repeated")
+    rows = left.where("doc_id is not null").join(beside(twice).withColumnRenamed("doc_id", repeated), F.col("doc_id") == F.col(repeated), "left_semi")
+    one = rows.groupBy(F.col("doc_id").alias(own)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(F.coalesce("text", F.lit("")))).alias(row))
+    return left.join(beside(twice), "doc_id", "left_anti").select(*docs.columns).union(one.select(f"{row}.*"))
+
+
+def first_copies(marks: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The smallest doc_id of each text (print_a, print_b, doc), and marks with it. Texts of which more than one in `most` rows is a copy are `most` at most: those are broadcast, and the rest has no hot key."""
+    prints = written(marks.where("bands is not null and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "prints")
+    total = prints.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    hot = F.broadcast(prints.where(F.col("copies") > max(1.0, total / most)).select("print_a", "print_b", "doc"))
+    key = ["print_a", "print_b"]
+    cold = marks.join(hot, key, "left_anti").join(prints.select(*key, "doc"), key, "left")
+    return prints.select(*key, "doc"), cold.select(*marks.columns, "doc").unionByName(marks.join(hot, key).select(*marks.columns, "doc"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 6, small: int = 8) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class) and kept (whether it is that document) for each row."""
     docs = docs.select("doc_id", "text")
-    lean(docs.sparkSession)
     marks = written(signed(docs, bands, rows), "signed")
-    prints = marks.where("bands is not null and doc_id is not null").groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc"))
-    own = written(marks.select("doc_id", "print_a", "print_b", F.col("bands").isNull().alias("empty")).join(prints, ["print_a", "print_b"], "left").select("doc_id", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("doc")).alias("doc")), "own")
-    heads = written(marks.join(prints.select("doc"), F.col("doc_id") == F.col("doc")).dropDuplicates(["doc_id"]).select("doc", "bands"), "heads")
+    _, named = first_copies(marks)
+    own = written(named.select("doc_id", F.when(F.col("bands").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("doc")).alias("doc"), F.when(F.col("doc_id") == F.col("doc"), F.col("bands")).alias("bands")), "own")
+    heads = own.where("bands is not null").dropDuplicates(["doc", "bands"]).select("doc", "bands")
     keyed = heads.select("doc", F.explode(F.array_distinct("bands")).alias("key"))
+    # documents of several texts, each of which may have its own first copy
+    mixed_ids = own.where("doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    bound = written(mixed_ids.select("a", "b").union(mixed_ids.select(F.col("doc_id").alias("a"), "b")), "bound")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
     members = written(keyed.join(shared, "key"), "buckets")
 
@@ -199,7 +221,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, ro
     pairs = few.toDF("key", "a").join(few.toDF("key", "b"), "key").where("a < b").select("a", "b")
     pairs = pairs.union(members.where((F.col("size") > small) & (F.col("doc") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("doc").alias("b"))).distinct()
     links = written(verified(written(pairs, "pairs"), docs, threshold), "found")
-    classes = written(components(links), "classes")
+    classes = written(components(links.union(bound)), "classes")
     at = members.where(F.col("size") > small).join(classes, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("root", "doc").alias("class"))
     at = written(at, "large")
     several = at.groupBy("key").agg(F.min("class").alias("one"), F.max("class").alias("other")).where("one < other").select("key")
@@ -207,5 +229,5 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, ro
     if not left.isEmpty():
         more = blocks_of(left, item_sets(docs, left.select(F.col("doc").alias("doc_id"))), threshold)
         classes = components(classes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    named = own.join(classes, own["doc"] == classes["node"], "left").select("doc_id", F.coalesce("root", "doc").alias("class_id"))
-    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    out = own.join(classes, own["doc"] == classes["node"], "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc")).alias("class_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))

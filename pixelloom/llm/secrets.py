@@ -3,7 +3,10 @@
 Base kinds are regular expressions, matched leftmost and without overlaps; a span is the whole match, in code points,
 end exclusive. A span's place is the running sum of what split() leaves between the matches.
 
-The battery looks at runs of 16 or more signs of the usual encodings. For each distinct run: the encoding is
+Texts are read once: cheap tests first, then each kind's matches side by side; all that follows works on the matches.
+
+The battery looks at runs of 16 or more signs of the usual encodings outside base spans, at two grains: up to an inner
+"=" or a base span, and pieces of letters and digits alone. The longest passing span stands. For each distinct run: the encoding is
 inferred from its signs (hex, base32, base36, base62, base64; plain numbers are none), then a chi-squared test of
 the alphabet's uniformity, a runs test about the alphabet's middle and a lag-1 serial-correlation test must each
 leave randomness possible (p >= alpha). The false-discovery side: the likelihood of the run under uniform draws, over
@@ -22,7 +25,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import KEY, doc_id, keyed, with_key
+from pixelloom.llm.common import KEY, beside, doc_id, joined_by_key, keyed, written
 
 #: The base kinds in their order, each with its pattern, the group that is measured and its least length.
 KINDS = {
@@ -30,8 +33,13 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 20),
     "hex": (r"[0-9a-f]+", 0, 24),
 }
-RUN, LEAST = r"[A-Za-z0-9+/=_-]{16,}", 16
+LEAST = 16
 RANDOM = "random"
+#: Words without which a text has no match of "assign", in small letters.
+NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
+RUN = rf"[A-Za-z0-9+/=_-]{{{LEAST},}}"
+#: What is tested of an uncovered run: up to an inner "=", and letters and digits alone.
+GRAINS = {"coarse": rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}", "fine": rf"[A-Za-z0-9]{{{LEAST},}}"}
 #: Encodings by the signs they use, in the order in which they are tried.
 ENCODINGS = {
     "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
@@ -46,30 +54,59 @@ def literal(pattern: str) -> Column:
     return F.lit(pattern)
 
 
-def matches(docs: DataFrame, kind: str, pattern: str, group: int, least: int, needs: str) -> DataFrame:
-    """KEY, kind, start, end and value of a pattern's matches whose group has at least `least` signs. needs: a cheaper pattern that every such text matches."""
-    found = docs.where(F.rlike("text", literal(needs))).select(
-        *KEY,
-        F.arrays_zip(
-            F.transform(F.split("text", pattern, -1), lambda s: F.length(s)).alias("gap"),
-            F.transform(F.regexp_extract_all("text", literal(pattern), F.lit(0)), lambda s: F.length(s)).alias("size"),
-            F.regexp_extract_all("text", literal(pattern), F.lit(group)).alias("value"),
-        ).alias("all"),
+def matches(kind: str, pattern: str, group: int, column: str = "text") -> Column:
+    """A column's matches of a pattern: kind, i, gap (signs since the match before), size and value (the group)."""
+    value = F.regexp_extract_all(column, literal(pattern), F.lit(0))
+    zipped = F.arrays_zip(
+        F.transform(F.split(column, pattern, -1), lambda s: F.length(s)).alias("gap"),
+        F.transform(value, lambda s: F.length(s)).alias("size"),
+        (F.regexp_extract_all(column, literal(pattern), F.lit(group)) if group else value).alias("value"),
     )
-    rows = found.select(*KEY, F.posexplode_outer("all").alias("i", "m")).select(*KEY, "i", F.col("m.gap").alias("gap"), F.col("m.size").alias("size"), F.col("m.value").alias("value"))
-    rows = rows.where("size is not null").distinct()
-    run = Window.partitionBy(*KEY).orderBy("i")
-    end = F.sum(F.col("gap") + F.col("size")).over(run)
-    return rows.withColumn("end", end).where(F.length("value") >= least).select(*KEY, F.lit(kind).alias("kind"), (F.col("end") - F.col("size")).alias("start"), "end", "value")
-
-
-def base_spans(docs: DataFrame) -> DataFrame:
-    needs = {"assign": KINDS["assign"][0][:-1].replace("]+", "]{6}") + ")", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
-    out = None
-    for kind, (pattern, group, least) in KINDS.items():
-        rows = matches(docs, kind, pattern, group, least, needs[kind]).drop("value")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return F.transform(zipped, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), m["gap"].alias("gap"), m["size"].alias("size"), m["value"].alias("value")))
+
+
+def opened(rows: DataFrame, arrays: list[Column], *keep: str) -> DataFrame:
+    """keep and the matches in arrays, a row each."""
+    found = rows.select(*keep, F.array(*arrays).alias("kinds")).select(*keep, F.explode_outer("kinds").alias("all")).select(*keep, F.explode_outer("all").alias("m"))
+    return found.select(*keep, *(F.col(f"m.{c}").alias(c) for c in ("kind", "i", "gap", "size", "value"))).where("size is not null")
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """KEY, kind, start, end and value of the base kinds' matches that count, and of runs ("run"). One pass over the texts."""
+    low = F.lower("text")
+    named = F.contains(low, F.lit(NAMES[0]))
+    for name in NAMES[1:]:
+        named = named | F.contains(low, F.lit(name))
+    run = F.rlike("text", literal(rf"[A-Za-z0-9+/=_-]{{{LEAST}}}"))
+    made = [F.when(named, matches("assign", KINDS["assign"][0], 1))]
+    made += [F.when(run, matches(k, KINDS[k][0].replace("]+", f"]{{{n},}}"), 0)) for k, n in (("access", 16), ("hex", 24))]
+    made.append(F.when(run, matches("run", RUN, 0)))
+    rows = written(opened(docs, made, *KEY).distinct(), "matches")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*KEY, "kind").orderBy("i"))
+    least = F.create_map(*[x for k, (_, _, n) in KINDS.items() for x in (F.lit(k), F.lit(n))])
+    spans = rows.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
+    return written(spans.where(F.length("value") >= F.coalesce(F.try_element_at(least, F.col("kind")), F.lit(LEAST))), "spans")
+
+
+def uncovered(spans: DataFrame) -> DataFrame:
+    """KEY, start and value of the parts of runs outside all base spans. A part begins where its run or a base span in it does end, at the furthest base end so far, and goes on to the next base span or the run's end."""
+    order = Window.partitionBy(*KEY).orderBy("start", F.col("kind") != "run")
+    so_far, later = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(1, Window.unboundedFollowing)
+    run = F.col("kind") == "run"
+    rows = spans.select(*KEY, "kind", "start", "end", F.when(run, F.col("value")).alias("run"))
+    rows = rows.withColumn("reach", F.max(F.when(~run, F.col("end"))).over(so_far)).withColumn("next", F.min(F.when(~run, F.col("start"))).over(later))
+    rows = rows.withColumn("own", F.last(F.when(run, F.struct(F.col("start").alias("start"), F.col("end").alias("end"), F.col("run").alias("value"))), ignorenulls=True).over(so_far))
+    rows = rows.withColumn("from", F.greatest(F.col("own.start"), F.coalesce("reach", F.lit(0)))).withColumn("to", F.least(F.col("own.end"), F.coalesce("next", F.col("own.end"))))
+    rows = rows.where(F.col("to") - F.col("from") >= LEAST)
+    return rows.select(*KEY, F.col("from").alias("start"), F.expr("substring(own.value, cast(from - own.start + 1 as int), cast(to - from as int))").alias("value")).distinct()
+
+
+def candidates(spans: DataFrame) -> DataFrame:
+    """KEY, kind (grain), start, end and value of all that the battery tests."""
+    parts = uncovered(spans).withColumnRenamed("start", "at")
+    rows = opened(parts.withColumn("part", F.col("value")), [matches(k, p, 0, "part") for k, p in GRAINS.items()], *KEY, "at")
+    end = F.col("at") + F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*KEY, "at", "kind").orderBy("i"))
+    return rows.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
 def tail(z: Column) -> Column:
@@ -124,7 +161,7 @@ def random_values(tokens: DataFrame, alpha: float, discovery: float, digits: flo
     table = F.create_map(*[x for c, p in sorted(logs.items()) for x in (F.lit(c), F.lit(log(p)))])
     text_log = F.aggregate(F.split("value", ""), F.lit(0.0), lambda s, c: s + F.coalesce(F.try_element_at(table, c), F.lit(0.0)))
     tested = tested.withColumn("evidence", -F.col("n") * F.log("size") - text_log)
-    tested = tested.withColumn("bin", F.least(F.greatest(F.floor("evidence"), F.lit(0)), F.lit(400)).cast("int")).withColumn("band", F.floor(F.log2("n")).cast("int"))
+    tested = tested.withColumn("bin", F.greatest(F.floor("evidence"), F.lit(0))).withColumn("band", F.floor(F.log2("n")).cast("int"))
     strata = tested.groupBy("code", "band", "bin").agg(F.sum("times").alias("times"))
     falling = Window.partitionBy("code", "band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("code", "band")
@@ -134,19 +171,25 @@ def random_values(tokens: DataFrame, alpha: float, discovery: float, digits: flo
     return passed.join(F.broadcast(bars), ["code", "band"]).where("bin >= bar and bin > 0").select("value")
 
 
+def clear_of(spans: DataFrame, solid: Column) -> DataFrame:
+    """The spans that are solid or overlap none that is."""
+    order = Window.partitionBy(*KEY).orderBy("start", "end")
+    before, after = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    spans = spans.withColumn("reach", F.max(F.when(solid, F.col("end"))).over(before)).withColumn("next", F.min(F.when(solid, F.col("start"))).over(after))
+    return spans.where(solid | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))).drop("reach", "next")
+
+
 def find_secrets(docs: DataFrame, alpha: float = 1e-3, discovery: float = 0.01, digits: float = 0.02) -> DataFrame:
     """KEY, kind, start, end: base spans, and spans the battery adds where no base span lies. bars are few rows: encodings times lengths by powers of two."""
-    rows = keyed(docs)
-    base = base_spans(rows)
-    runs = matches(rows, RANDOM, RUN, 0, LEAST, RUN)
+    spans = scanned(keyed(docs))
+    runs = written(candidates(spans), "runs")
     tokens = runs.groupBy("value").agg(F.count("*").alias("times"))
-    added = runs.join(random_values(tokens, alpha, discovery, digits), "value").select(*KEY, "kind", "start", "end")
-    every = base.unionByName(added)
-    before = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    based = F.col("kind") != RANDOM
-    every = every.withColumn("reach", F.max(F.when(based, F.col("end"))).over(before)).withColumn("next", F.min(F.when(based, F.col("start"))).over(after))
-    return every.where(based | ((F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end")))).select(*KEY, "kind", "start", "end")
+    values = written(random_values(tokens, alpha, discovery, digits), "random")
+    every = spans.where(F.col("kind").isin(*KINDS)).drop("value").unionByName(runs.join(beside(values), "value").drop("value"))
+    base = F.col("kind").isin(*KINDS)
+    coarse = clear_of(every.where("kind <> 'fine'"), base)
+    kept = clear_of(coarse.unionByName(every.where("kind = 'fine'")), F.col("kind") != "fine")
+    return kept.select(*KEY, F.when(base, F.col("kind")).otherwise(F.lit(RANDOM)).alias("kind"), "start", "end")
 
 
 def by_document(spans: DataFrame) -> DataFrame:
@@ -161,9 +204,9 @@ def of_kind(kind: str) -> Column:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row a document: its spans by kind, counted and joined."""
-    found = by_document(find_secrets(docs, **options))
+    found = written(by_document(find_secrets(docs, **options)), "spans")
     rows = keyed(docs).select(*KEY)
-    joined = rows.join(found, KEY, "left").select(doc_id(), F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
+    joined = rows.join(beside(found, weight=F.size("spans")), KEY, "left").select(doc_id(), F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"] != RANDOM)
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = {k: of_kind(k) for k in (*KINDS, RANDOM)}
@@ -176,11 +219,10 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     before = Window.partitionBy(*KEY).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("from", F.coalesce(F.max("end").over(before), F.lit(0)))
     cuts = spans.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end", "from", "kind"))).alias("_cuts"), F.max("end").alias("_last"))
-    joined = with_key(docs).join(cuts, KEY, "left")
-    pieces = F.transform("_cuts", lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring("text", s["from"] + 1, s["start"] - s["from"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring("text", F.col("_last") + 1, F.length("text"))))
-    names = docs.columns
+    joined, (cut, last) = joined_by_key(docs, written(cuts, "cuts"), "left", ("_cuts", "_last"), F.size("_cuts"))
+    pieces = F.transform(cut, lambda s: F.when(s["start"] >= s["from"], F.concat(F.substring("text", s["from"] + 1, s["start"] - s["from"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.substring("text", F.col(last) + 1, F.length("text"))))
     out = joined.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_cuts").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*names)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
