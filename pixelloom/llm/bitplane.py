@@ -67,7 +67,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank") ->
             yield pa.record_batch([batch.column(0), data.cast(pa.binary()), pa.array(np.diff(starts).astype(np.int64)), batch.column(2)], names=["doc_id", "ids", "n_tokens", "text_hash"])
 
     made = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, ids binary, n_tokens long, text_hash long")
-    return written(made.withColumn("row", F.monotonically_increasing_id()), "ids")
+    return written(made.withColumn("row", F.monotonically_increasing_id()), "ids", compression="zstd")
 
 
 def write_planes(docs: DataFrame, tokenizer: str, end_id: int, cut: str = "blank", block: int = 1 << 16, ids_per_shard: int = 1 << 22, kind: str = "bit") -> DataFrame:
