@@ -12,7 +12,7 @@ from pixelloom.operators import stats
 from pixelloom.operators.aperture import Shape, covered, footprint
 
 
-def mesh(pixels: DataFrame, size: int, estimator: str = "sextractor", exclude: float = 10.0, rounds: int = 1) -> DataFrame:
+def mesh(pixels: DataFrame, size: int, estimator: str = "sextractor", exclude: float = 10.0, rounds: int = 10) -> DataFrame:
     """(image_id, box_y, box_x, background, rms, n) of boxes of size x size. Masked pixels are left out; a box is null when less than 100 - exclude percent of a whole box is left, so partial boxes at the edge mostly are."""
     rows = pixels.where(~F.coalesce("mask", F.lit(False))).select("image_id", F.floor(F.col("y") / size).cast("int").alias("box_y"), F.floor(F.col("x") / size).cast("int").alias("box_x"), "value")
     keys = ["image_id", "box_y", "box_x"]
@@ -108,3 +108,33 @@ def to_pixels_spline(pixels: DataFrame, boxes: DataFrame, size: int, reach: int
         return own[["image_id", "y", "x", "value"]].assign(background=np.clip(value, one.low, one.high))
 
     return strips.groupBy("image_id", "strip").cogroup(sent.groupBy("image", "of")).applyInPandas(fill, f"image_id {kind}, y int, x int, value double, background double")
+
+
+def n_pixels_map(pixels: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
+    """(image_id, y, x, n): at each pixel the number of pixels that its box's statistics were made from."""
+    rows = pixels.select("image_id", "y", "x", F.floor(F.col("y") / size).cast("int").alias("box_y"), F.floor(F.col("x") / size).cast("int").alias("box_x"))
+    return rows.join(boxes.select("image_id", "box_y", "box_x", "n"), ["image_id", "box_y", "box_x"]).select("image_id", "y", "x", "n")
+
+
+def rms_to_pixels(pixels: DataFrame, boxes: DataFrame, size: int) -> DataFrame:
+    """(image_id, y, x, rms): the boxes' deviations taken to the pixels as the background is; holes are filled first."""
+    mesh = fill_holes(boxes.select("image_id", "box_y", "box_x", F.col("rms").alias("background")))
+    return to_pixels(pixels, mesh, size).select("image_id", "y", "x", F.col("background").alias("rms"))
+
+
+def medians(boxes: DataFrame) -> DataFrame:
+    """(image_id, background_median, rms_median) of an image's mesh."""
+    return boxes.groupBy("image_id").agg(F.median("background").alias("background_median"), F.median("rms").alias("rms_median"))
+
+
+def idw_to_pixels(pixels: DataFrame, boxes: DataFrame, size: int, neighbours: int = 10, power: float = 1.0) -> DataFrame:
+    """(image_id, y, x, background): at each pixel the mean of the nearest boxes' centres by inverse distance. Boxes come from a neighbourhood of the pixel's own that surely holds the nearest ones of a mesh without holes, so the join is on places."""
+    reach = int(neighbours**0.5 / 2) + 2
+    steps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(-2 * reach, 2 * reach + 1) for i in range(-2 * reach, 2 * reach + 1)])
+    rows = pixels.select("image_id", "y", "x", F.floor(F.col("y") / size).cast("int").alias("by"), F.floor(F.col("x") / size).cast("int").alias("bx"))
+    sent = boxes.select("image_id", F.col("box_y").alias("cy"), F.col("box_x").alias("cx"), F.col("background").alias("v"), F.explode(steps).alias("s")).select("image_id", "cy", "cx", "v", (F.col("cy") + F.col("s.j")).alias("by"), (F.col("cx") + F.col("s.i")).alias("bx"))
+    centre = lambda c: (F.col(c) + 0.5) * size - 0.5
+    met = rows.join(sent, ["image_id", "by", "bx"]).withColumn("d", F.hypot(F.col("y") - centre("cy"), F.col("x") - centre("cx")))
+    near = met.withColumn("rank", F.row_number().over(Window.partitionBy("image_id", "y", "x").orderBy("d", "cy", "cx"))).where(F.col("rank") <= neighbours)
+    w = F.when(F.col("d") > 0, 1 / F.pow(F.greatest("d", F.lit(1e-12)), F.lit(power)))
+    return near.groupBy("image_id", "y", "x").agg(F.coalesce(F.max(F.when(F.col("d") == 0, F.col("v"))), fdiv(F.sum(w * F.col("v")), F.sum(w))).alias("background"))

@@ -89,35 +89,54 @@ def numbered(peaks: DataFrame) -> DataFrame:
     return peaks.withColumn("id", F.row_number().over(Window.partitionBy("image_id").orderBy("y", "x")).cast("long"))
 
 
+def marginal(kernel: np.ndarray, sigma: float, along_x: bool) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+    """The weights of a cut-out's pixels in the sums of a marginal Gaussian fit, and the kernel's own sums. Both marginals are weighted by triangles that fall from the centre."""
+    hy, hx = (n // 2 for n in kernel.shape)
+    wx, wy = (h + 1.0 - np.abs(np.arange(-h, h + 1)) for h in (hx, hy))
+    line, across, place = (wx, wy[:, None], np.arange(-hx, hx + 1)) if along_x else (wy, wx[None, :], np.arange(-hy, hy + 1))
+    g = (kernel * across).sum(axis=0 if along_x else 1)
+    slope = -g * place
+    spread = lambda v: np.broadcast_to(across, kernel.shape) * (v[None, :] if along_x else v[:, None])
+    sums = {"d": spread(line), "dk": spread(line * g), "ds": spread(line * slope), "dx": spread(line * (-place if along_x else place))}
+    own = {"w": line.sum(), "k": (g * line).sum(), "kk": (g * g * line).sum(), "s": (slope * line).sum(), "ss": (slope * slope * line).sum(), "ks": (g * slope * line).sum(), "sigma": sigma, "size": float(len(line))}
+    return sums, own
+
+
+def marginal_fit(name: str, own: dict[str, float]) -> tuple[Column, Column]:
+    """Shift and height of the fit from a star's sums (columns name_d, name_dk, ...); null where the height isn't positive. A shift beyond the cut-out is replaced by that of the weighted mean, or 0."""
+    d, dk, ds, dx = (F.col(f"{name}_{c}") for c in ("d", "dk", "ds", "dx"))
+    top, low = dk - d * own["k"] / own["w"], own["kk"] - own["k"] ** 2 / own["w"]
+    height = F.when((top > 0) & F.lit(low > 0), top / (low or 1.0))
+    shift = fdiv(F.lit(own["ks"]) - (ds - own["s"] * d), height * (own["ss"] / own["sigma"] ** 2))
+    half = own["size"] / 2
+    mean = F.coalesce(fdiv(dx, d), F.lit(0.0))
+    shift = F.when(F.abs(shift) > half, F.when(F.abs(mean) > half, 0.0).otherwise(mean)).otherwise(shift)
+    return F.when(height.isNotNull(), shift), height
+
+
 def dao_find(pixels: DataFrame, threshold: float, fwhm: float, sharp: tuple[float, float] = (0.2, 1.0), rounds: tuple[float, float] = (-1.0, 1.0), brightest: int | None = None) -> DataFrame:
-    """Stars where the zero-sum convolution peaks: sharpness, roundness by quadrants and by marginal sums, and centres shifted by the marginal fit."""
+    """Stars where the zero-sum convolution peaks: sharpness, roundness by quadrants and by the heights of Gaussians fitted to the marginal sums, and centres shifted by those fits."""
     k = star_kernel(fwhm)
     hy, hx = (n // 2 for n in k["kernel"].shape)
     seen = convolve(pixels, k["kernel"])
     limit = threshold * k["rel_err"]
     found = numbered(find_peaks(seen.select("image_id", "y", "x", F.col("convolved").alias("value")), limit, 2 * max(hx, int(2.5 * fwhm)) + 1).join(seen.select("image_id", "y", "x", "value"), ["image_id", "y", "x"]))
-    inside = {(int(j) - hy, int(i) - hx) for j, i in zip(*np.nonzero(k["mask"]), strict=True)}
-    cells = cut_outs(seen, found, hy, hx, ["value", "convolved"])
-    covered = F.array(*[F.lit(f"{j}:{i}") for j, i in sorted(inside)])
-    cells = cells.withColumn("in", F.array_contains(covered, F.concat_ws(":", "j", "i")))
+    cells = cut_outs(seen, found, hy, hx, ["value", "convolved"]).withColumn("at", (F.col("j") + hy) * (2 * hx + 1) + F.col("i") + hx + 1)
+    table = lambda m: F.element_at(F.array(*[F.lit(float(v)) for v in np.asarray(m).ravel()]), F.col("at"))
     quarter = F.when((F.col("j") == 0) & (F.col("i") == 0), 0).when((F.col("i") > 0) & (F.col("j") >= 0), -1).when((F.col("i") <= 0) & (F.col("j") > 0), 1).when((F.col("i") < 0) & (F.col("j") <= 0), -1).otherwise(1)
-    weight_x = hx + 1 - F.abs("i")
-    weight_y = hy + 1 - F.abs("j")
+    sides = {"x": marginal(k["gauss"], k["sigma"], True), "y": marginal(k["gauss"], k["sigma"], False)}
     sums = cells.groupBy("image_id", "id").agg(
-        F.sum(F.when(F.col("in") & ~((F.col("i") == 0) & (F.col("j") == 0)), F.col("value"))).alias("rest"),
-        F.sum(quarter * F.col("convolved")).alias("turned"), F.sum(F.abs("convolved")).alias("whole"),
-        F.sum("value").alias("flux"),
-        F.sum(F.col("value") * weight_y * F.col("i") * weight_x).alias("tilt_x"), F.sum(F.col("value") * weight_x * F.col("j") * weight_y).alias("tilt_y"),
-        F.sum(F.greatest("value", F.lit(0.0)) * weight_y * weight_x).alias("heft"),
-        F.sum(F.col("value") * weight_y * (F.lit(1.0) - fdiv(F.abs("i") * 2.0, F.lit(float(hx + 1))))).alias("high_x"), F.sum(F.col("value") * weight_x * (F.lit(1.0) - fdiv(F.abs("j") * 2.0, F.lit(float(hy + 1))))).alias("high_y"),
+        F.sum(F.when((table(k["mask"]) > 0) & ~((F.col("i") == 0) & (F.col("j") == 0)), F.col("value"))).alias("rest"),
+        F.sum(quarter * F.col("convolved")).alias("turned"), F.sum(F.abs("convolved")).alias("whole"), F.sum("value").alias("flux"),
+        *(F.sum(F.col("value") * table(m)).alias(f"{n}_{c}") for n, (weights, _) in sides.items() for c, m in weights.items()),
     )
+    (shift_x, high_x), (shift_y, high_y) = (marginal_fit(n, own) for n, (_, own) in sides.items())
     stars = found.join(sums, ["image_id", "id"])
     stars = stars.withColumns({
         "sharpness": fdiv(F.col("value") - F.col("rest") / (k["n"] - 1), F.col("peak")),
         "roundness1": fdiv(2 * F.col("turned"), F.col("whole")),
-        "roundness2": fdiv(2 * (F.col("high_x") - F.col("high_y")), F.col("high_x") + F.col("high_y")),
-        "x_centroid": F.col("x") + F.coalesce(fdiv(F.col("tilt_x"), F.col("heft")), F.lit(0.0)),
-        "y_centroid": F.col("y") + F.coalesce(fdiv(F.col("tilt_y"), F.col("heft")), F.lit(0.0)),
+        "roundness2": fdiv(2 * (high_x - high_y), high_x + high_y),
+        "x_centroid": F.col("x") + shift_x, "y_centroid": F.col("y") + shift_y,
         "daofind_mag": -2.5 * F.log10(F.col("peak") / limit),
     })
     stars = stars.where(F.col("sharpness").between(*sharp) & F.col("roundness1").between(*rounds) & F.col("roundness2").between(*rounds))

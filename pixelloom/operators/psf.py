@@ -123,11 +123,13 @@ def matching_kernel(source: np.ndarray, target: np.ndarray, regular: float = 1e-
     return kernel / kernel.sum()
 
 
-def taper(kind: str, size: int, alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
-    """Windows for matching kernels, by distance from the centre as a share r of the half size: hanning, tukey (alpha), cosine (alpha), split (flat within beta, falling over alpha) and tophat (beta)."""
-    y, x = np.mgrid[:size, :size] - (size - 1) / 2
-    r = np.hypot(x, y) / ((size - 1) / 2)
-    alpha, beta = {"hanning": (1.0, 0.0), "tukey": (alpha, 1 - alpha), "cosine": (alpha, 1 - alpha), "split": (alpha, beta), "tophat": (0.0, beta)}[kind]
+def taper(kind: str, size: int | tuple[int, int], alpha: float = 0.5, beta: float = 0.5) -> np.ndarray:
+    """Windows for matching kernels, by distance from the centre as a share r of the half of the shorter side: hanning, tukey (falls over the outer alpha), cosine (falls from the centre on over alpha), split (flat within beta, falling over alpha) and tophat (beta)."""
+    height, width = (size, size) if isinstance(size, int) else size
+    y, x = np.mgrid[:height, :width].astype(float)
+    half = (min(height, width) - 1) / 2
+    r = np.hypot(y - (height - 1) / 2, x - (width - 1) / 2) / half if half else np.zeros((height, width))
+    alpha, beta = {"hanning": (1.0, 0.0), "tukey": (alpha, 1 - alpha), "cosine": (alpha, 0.0), "split": (alpha, beta), "tophat": (0.0, beta)}[kind]
     if alpha == 0:
         return (r <= beta).astype(float)
     fall = 0.5 * (1 + np.cos(np.pi * (r - beta) / alpha))

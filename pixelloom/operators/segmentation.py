@@ -3,34 +3,20 @@
 from __future__ import annotations
 
 import heapq
-import os
-import tempfile
-import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.functions.tables import kept
 from pixelloom.operators import stats
 
 FOUR = [(0, 1), (1, 0)]
 EIGHT = [*FOUR, (1, 1), (1, -1)]
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the session's shared folder, so that rounds don't grow lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="pixelloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = os.path.join(folder.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def threshold(pixels: DataFrame, n_sigma: float, rounds: int = 3) -> DataFrame:
+def threshold(pixels: DataFrame, n_sigma: float, rounds: int = 10) -> DataFrame:
     """(image_id, threshold): clipped mean plus n_sigma clipped standard deviations."""
     rest = stats.sigma_clip(pixels.where(~F.coalesce("mask", F.lit(False))).select("image_id", "value"), ["image_id"], rounds=rounds, centre="mean")
     return rest.groupBy("image_id").agg((F.avg("value") + n_sigma * F.stddev_pop("value")).alias("threshold"))
@@ -72,6 +58,33 @@ def label(pixels: DataFrame, over: Column, n_pixels: int = 1, connectivity: int
     return found.join(order, ["image_id", "root"]).select("image_id", "y", "x", "label")
 
 
+def summary(pixels: DataFrame, segments: DataFrame) -> DataFrame:
+    """(image_id, n_labels, max_label, is_consecutive, background_area) of each image; labels are consecutive if they run from 1 without a gap."""
+    own = segments.groupBy("image_id").agg(F.count_distinct("label").alias("n_labels"), F.max("label").alias("max_label"), F.min("label").alias("low"), F.count("*").alias("n"))
+    whole = pixels.groupBy("image_id").agg(F.count("*").alias("all"))
+    n, top = F.coalesce("n_labels", F.lit(0)), F.coalesce("max_label", F.lit(0))
+    consecutive = (n > 0) & (F.col("low") == 1) & (n == top)
+    return whole.join(own, "image_id", "left").select("image_id", n.cast("long").alias("n_labels"), top.cast("int").alias("max_label"), F.coalesce(consecutive, F.lit(False)).alias("is_consecutive"), (F.col("all") - F.coalesce("n", F.lit(0))).alias("background_area"))
+
+
+def get_segments(pixels: DataFrame, segments: DataFrame, labels: list[int]) -> DataFrame:
+    """The pixels of these labels, with values; labels that no pixel has are refused."""
+    check_labels(segments, labels)
+    return pixels.join(segments.where(F.col("label").isin([int(v) for v in labels])), ["image_id", "y", "x"])
+
+
+def check_labels(segments: DataFrame, labels: list[int]) -> None:
+    """Raises for labels that no pixel has."""
+    lacking = set(labels) - {r["label"] for r in segments.where(F.col("label").isin([int(v) for v in labels])).select("label").distinct().collect()}
+    if lacking:
+        raise ValueError(f"no such labels: {sorted(lacking)}")
+
+
+def children_of(found: DataFrame) -> DataFrame:
+    """(image_id, parent, children): the sorted labels that deblending made of each parent that was split, from (label, parent) of deblend()."""
+    return found.select("image_id", "label", "parent").distinct().groupBy("image_id", "parent").agg(F.array_sort(F.collect_set("label")).alias("children")).where(F.size("children") > 1)
+
+
 def areas(segments: DataFrame) -> DataFrame:
     return segments.groupBy("image_id", "label").agg(F.count("*").alias("area"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import fdiv, finite, root
+from pixelloom.functions.tables import kept
 
 MAD = 1.482602218505602
 
@@ -113,15 +114,24 @@ def shape(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sigma_clip(rows: DataFrame, keys: list[str], sigma: float = 3.0, rounds: int = 3, centre: str = "median", scale: str = "std") -> DataFrame:
-    """The rows left after a fixed number of clipping rounds, as one plan. Rounds beyond convergence change nothing."""
-    rows = good(rows)
+    """The rows left after up to `rounds` rounds of clipping. What survives lies in the intersection of all rounds' intervals, so a round keeps one interval a group, written down, and rows are only read again; rounds end once no interval moves."""
+    rows, state = good(rows), None
     for _ in range(rounds):
-        base = with_median(rows, keys) if scale == "mad_std" else rows
+        inside = rows if state is None else rows.join(state, keys).where(F.col("value").between(F.col("low_"), F.col("high_"))).drop("low_", "high_")
+        base = with_median(inside, keys) if scale == "mad_std" else inside
         mid = F.median("value") if centre == "median" else F.avg("value")
-        spread = F.max("mad") * MAD if scale == "mad_std" else F.stddev_pop("value")
-        bounds = base.groupBy(*keys).agg(mid.alias("mid_"), spread.alias("spread_"))
-        rows = rows.join(bounds, keys).where(F.abs(F.col("value") - F.col("mid_")) <= sigma * F.col("spread_")).drop("mid_", "spread_")
-    return rows
+        spread = sigma * (F.max("mad") * MAD if scale == "mad_std" else F.stddev_pop("value"))
+        new = base.groupBy(*keys).agg(mid.alias("mid_"), spread.alias("spread_")).select(*keys, (F.col("mid_") - F.col("spread_")).alias("low_"), (F.col("mid_") + F.col("spread_")).alias("high_"))
+        if state is not None:
+            new = new.join(state.toDF(*keys, "was_low", "was_high"), keys).select(*keys, F.greatest("low_", "was_low").alias("low_"), F.least("high_", "was_high").alias("high_"), ((F.col("low_") > F.col("was_low")) | (F.col("high_") < F.col("was_high"))).alias("moved_"))
+            new = kept(new, "clip")
+            moved, new = not new.where("moved_").isEmpty(), new.drop("moved_")
+        else:
+            new, moved = kept(new, "clip"), True
+        state = new
+        if not moved:
+            break
+    return rows if state is None else rows.join(state, keys).where(F.col("value").between(F.col("low_"), F.col("high_"))).drop("low_", "high_")
 
 
 def clipped(values: np.ndarray, sigma: float = 3.0, most: int = 10) -> np.ndarray:

@@ -11,8 +11,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions import boxes
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, detection, finders, isophotes, profiles, psf, segmentation, simulate, stats
+from pixelloom.operators import aperture, background, catalog, centroids, detection, finders, isophotes, masks, profiles, psf, segmentation, simulate, sky, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -136,7 +137,7 @@ def aperture_polygon_exact(spark, sf_dir):
 
 @query(f"""with {img_sql(by='l_returnflag')}, {SRC}, feet as (select s.id, i.image_id, i.value, i.mask from src s join img i on (i.x - s.x) ** 2 + (i.y - s.y) ** 2 < 9.0)
 select image_id, id, round(sum(value) filter (not mask), 4) as flux, count(*) filter (not mask)::double as area,
-  (case when count(*) < (select count(*) from (select unnest(range(-10, 50)) as y) a, (select unnest(range(-10, 50)) as x) b, src q where q.id = feet.id and (b.x - q.x) ** 2 + (a.y - q.y) ** 2 < 9.0) then 2 else 0 end + case when bool_or(mask) then 4 else 0 end)::int as flags
+  (case when count(*) < (select count(*) from (select unnest(range(-10, 50)) as y) a, (select unnest(range(-10, 50)) as x) b, src q where q.id = feet.id and (b.x - q.x) ** 2 + (a.y - q.y) ** 2 < 9.0) then 2 else 0 end + case when bool_or(mask) then 8 else 0 end + case when bool_and(mask) then 16 else 0 end)::int as flags
 from feet group by image_id, id""")
 def aperture_flags_by_image(spark, sf_dir):
     found = aperture.photometry(image(spark, sf_dir, by="l_returnflag"), stars(spark), aperture.circle(3), method="center")
@@ -218,10 +219,10 @@ def sigma_clip_converged(spark, sf_dir):
     return rounded(stats.sigma_clip_groups(cells(spark, sf_dir), ["id"], 2.0))
 
 
-BOXES = f"""{img_sql(64, 64)}, b0 as (select image_id, y // 8 as box_y, x // 8 as box_x, value from img where not mask),
-b1 as (select c.* from b0 c join (select box_y, box_x, median(value) as m, stddev_pop(value) as s from b0 group by 1, 2) b using (box_y, box_x) where abs(value - m) <= 3 * s),
+ROUNDS = ", ".join(f"b{n + 1} as materialized (select c.* from b{n} c join (select box_y, box_x, median(value) as m, stddev_pop(value) as s from b{n} group by 1, 2) b using (box_y, box_x) where abs(value - m) <= 3 * s)" for n in range(10))
+BOXES = f"""{img_sql(64, 64)}, b0 as (select image_id, y // 8 as box_y, x // 8 as box_x, value from img where not mask), {ROUNDS},
 mesh as (select image_id, box_y::int as box_y, box_x::int as box_x, case when stddev_pop(value) = 0 then avg(value) when abs(avg(value) - median(value)) / stddev_pop(value) >= 0.3 then median(value) else 2.5 * median(value) - 1.5 * avg(value) end as background, stddev_pop(value) as rms, count(*) as n
-  from b1 group by 1, 2, 3)"""
+  from b10 group by 1, 2, 3)"""
 MESH = "(select image_id, box_y, box_x, case when n >= 57.6 then background end as background, case when n >= 57.6 then rms end as rms, n from mesh)"
 
 
@@ -316,9 +317,9 @@ def iraf_star_finder(spark, sf_dir):
     return rounded(finders.iraf_find(image(spark, sf_dir, 64, 64), 0.1, 2.5, rounds=(0.0, 0.8)))
 
 
-@query("select a.p_partkey as a, b.p_partkey as b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as d from (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part where p_size <= 10) a join (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part where p_size <= 10) b on a.p_partkey < b.p_partkey and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9")
+@query("select a.p_partkey as a, b.p_partkey as b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) as d from (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part) a join (select p_partkey, p_retailprice % 100 as x, p_partkey % 97 as y from part) b on a.p_partkey < b.p_partkey and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 9")
 def close_pairs(spark, sf_dir):
-    points = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size <= 10").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 100).alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+    points = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") % 100).alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
     return rounded(detection.close_pairs(points, 3.0), 6)
 
 
@@ -438,7 +439,7 @@ def label_perimeter(spark, sf_dir):
     return rounded(segmentation.perimeter(tiled(spark, sf_dir)[1]), 5)
 
 
-@query(f"""with {img_sql(64, 64, 'l_returnflag')}, k0 as (select * from img where not mask), """ + ", ".join(f"k{n + 1} as (select c.* from k{n} c join (select image_id, avg(value) as m, stddev_pop(value) as s from k{n} group by 1) b using (image_id) where abs(value - m) <= 3 * s)" for n in range(3)) + " select image_id, round(avg(value) + 2 * stddev_pop(value), 5) as threshold from k3 group by 1")
+@query(f"""with {img_sql(64, 64, 'l_returnflag')}, k0 as (select * from img where not mask), """ + ", ".join(f"k{n + 1} as materialized (select c.* from k{n} c join (select image_id, avg(value) as m, stddev_pop(value) as s from k{n} group by 1) b using (image_id) where abs(value - m) <= 3 * s)" for n in range(10)) + " select image_id, round(avg(value) + 2 * stddev_pop(value), 5) as threshold from k10 group by 1")
 def detect_threshold(spark, sf_dir):
     return rounded(segmentation.threshold(image(spark, sf_dir, 64, 64, "l_returnflag"), 2.0), 5)
 
@@ -464,17 +465,186 @@ def catalog_shapes(spark, sf_dir):
     return rounded(catalog.shapes(*tiled(spark, sf_dir)), 5)
 
 
-@query(f"""with {JOINED}, {shape_sql('rows', 'image_id, label')}, r as (select s.image_id, s.label, i.value, sqrt(greatest(ellipse_cxx * (i.x - x_centroid) ** 2 + ellipse_cyy * (i.y - y_centroid) ** 2 + ellipse_cxy * (i.x - x_centroid) * (i.y - y_centroid), 0)) as r, g.label as there
-  from shapes s join img i on i.image_id = s.image_id and abs(i.x - floor(x_centroid + 0.5)) <= ceil(2 * semimajor_axis) and abs(i.y - floor(y_centroid + 0.5)) <= ceil(2 * semimajor_axis) left join segments g on g.image_id = i.image_id and g.y = i.y and g.x = i.x),
-o as (select * from r where there is null or there = label), kr as (select image_id, label, greatest(sum(r * value) / sum(value), 1.0) as kron_radius from o where r <= 2 group by 1, 2)
-select image_id, label, round(max(kron_radius), 5) as kron_radius, round(sum(value), 4) as kron_flux from o join kr using (image_id, label) where r <= 1.5 * kron_radius group by 1, 2""")
+KRON = f"""{JOINED}, {shape_sql('rows', 'image_id, label')}, r as (select s.image_id, s.label, i.value, sqrt(greatest(ellipse_cxx * (i.x - x_centroid) ** 2 + ellipse_cyy * (i.y - y_centroid) ** 2 + ellipse_cxy * (i.x - x_centroid) * (i.y - y_centroid), 0)) as r, g.label as there
+  from shapes s join img i on i.image_id = s.image_id and abs(i.x - floor(x_centroid + 0.5)) <= ceil(2 * semimajor_axis) + 1 and abs(i.y - floor(y_centroid + 0.5)) <= ceil(2 * semimajor_axis) + 1 and not i.mask left join segments g on g.image_id = i.image_id and g.y = i.y and g.x = i.x),
+kr as (select image_id, label, sum(r * value) / sum(value) as raw from r where (there is null or there = label) and r < 2 group by 1, 2)"""
+
+
+@query(f"with {KRON} select image_id, label, round(case when raw > 0 and raw <= 2 then greatest(raw, 1.0) end, 5) as kron_radius from kr")
+def catalog_kron_radius(spark, sf_dir):
+    return rounded(catalog.kron_radii(*tiled(spark, sf_dir), scale=1.5, least=1.0, reach=2.0, neighbours="mask").select("image_id", "label", "kron_radius"), 5)
+
+
+@query()
 def catalog_kron(spark, sf_dir):
-    return rounded(catalog.kron(*tiled(spark, sf_dir), scale=1.5, reach=2.0, least=1.0).withColumn("kron_radius", F.round("kron_radius", 5)).withColumn("kron_flux", F.round("kron_flux", 4)), 5)
+    return rounded(catalog.kron(*tiled(spark, sf_dir)), 4)
 
 
 @query()
 def catalog_flux_radius(spark, sf_dir):
-    return rounded(catalog.half_light(*tiled(spark, sf_dir)))
+    return rounded(catalog.flux_radius(*tiled(spark, sf_dir)))
+
+
+@query(f"""with {JOINED}, {shape_sql('rows', 'image_id, label')}, t as (select r.image_id, r.label, sum(r.value * (r.x - x_centroid) ** 2) as inertia_xx, -sum(r.value * (r.x - x_centroid) * (r.y - y_centroid)) as inertia_xy, sum(r.value * (r.y - y_centroid) ** 2) as inertia_yy from rows r join c using (image_id, label) group by 1, 2)
+select t.image_id, t.label, round(inertia_xx, 2) as inertia_xx, round(inertia_xy, 2) as inertia_xy, round(inertia_yy, 2) as inertia_yy, round(semimajor_axis ** 2, 2) as eigenvalue_1, round(semiminor_axis ** 2, 2) as eigenvalue_2 from t left join shapes using (image_id, label)""")
+def catalog_tensors(spark, sf_dir):
+    return rounded(catalog.tensors(*tiled(spark, sf_dir)), 2)
+
+
+@query(f"""with {JOINED}, {shape_sql('rows', 'image_id, label')}, e as (select r.image_id, r.label, sum(error ** 2 * (r.x - x_centroid) ** 2) / sum(value) ** 2 as vx, sum(error ** 2 * (r.y - y_centroid) ** 2) / sum(value) ** 2 as vy, sum(error ** 2 * (r.x - x_centroid) * (r.y - y_centroid)) / sum(value) ** 2 as v, sum(error ** 2) / sum(value) ** 2 / 12 as f from rows r join c using (image_id, label) group by 1, 2),
+a as (select e.*, case when m.xx0 * m.yy0 - m.xy ** 2 < 1.0 / 144 and vx * vy - v * v < f * f then f else 0 end as more from e join m using (image_id, label))
+select image_id, label, round(sqrt(vx + more), 6) as x_err, round(sqrt(vy + more), 6) as y_err, round(v, 6) as xy_cov from a""")
+def catalog_centroid_errors(spark, sf_dir):
+    return rounded(catalog.centroid_errors(*tiled(spark, sf_dir)), 6)
+
+
+@query(f"""with {JOINED}, {shape_sql('rows', 'image_id, label')} select image_id, label, round(sum(y * 0.5 + x * 0.25), 4) as background_sum, round(avg(y * 0.5 + x * 0.25), 4) as background_mean, round(any_value(y_centroid) * 0.5 + any_value(x_centroid) * 0.25, 4) as background_centroid from rows join c using (image_id, label) group by 1, 2""")
+def catalog_backgrounds(spark, sf_dir):
+    pixels, segments = tiled(spark, sf_dir)
+    return rounded(catalog.backgrounds(pixels, segments, pixels.withColumn("background", F.col("y") * 0.5 + F.col("x") * 0.25)))
+
+
+@query(f"""with {JOINED}, q as (select image_id, label, abs(value) as v, row_number() over (partition by image_id, label order by abs(value)) as i, count(*) over (partition by image_id, label) as n from rows)
+select image_id, label, round(case when max(n) > 1 then sum((2 * i - n - 1) * v) / (avg(v) * max(n) * (max(n) - 1)) else 0 end, 6) as gini from q group by 1, 2""")
+def catalog_gini(spark, sf_dir):
+    return rounded(catalog.gini(*tiled(spark, sf_dir)), 6)
+
+
+@query(f"""with {JOINED}, {shape_sql('rows', 'image_id, label')}, w as (select c.image_id, c.label, {disc_sql('i.x - x_centroid', 'i.y - y_centroid', '3.0::double')} as w, i.value, i.error from c join img i on i.image_id = c.image_id and abs(i.x - x_centroid) < 5 and abs(i.y - y_centroid) < 5 and not i.mask)
+select image_id, label, round(sum(w * value), 4) as flux, round(sqrt(sum((w * error) ** 2)), 4) as flux_err from w where w > 0 group by 1, 2""")
+def catalog_circular_flux(spark, sf_dir):
+    return rounded(catalog.circular_photometry(*tiled(spark, sf_dir), 3.0))
+
+
+@query(f"""with {JOINED}, {shape_sql("(select * from rows where not mask)", 'image_id, label').replace('from (select', 'from (select').replace("(select * from rows where not mask) join c", "(select * from rows where not mask) q join c")}
+select r.image_id, r.label, (case when bool_or(r.mask) then 1 else 0 end + case when bool_and(r.mask) then 8 else 0 end + case when bool_or(r.y in (0, 63) or r.x in (0, 63)) then 16 else 0 end + case when coalesce(sum(r.value) filter (not r.mask) <= 0, true) then 256 else 0 end
+  + case when any_value((m.xx0 + m.yy0) / 2 - sqrt(((m.xx0 - m.yy0) / 2) ** 2 + m.xy ** 2) < 1.0 / 12) then 512 else 0 end)::int as flags from rows r left join m using (image_id, label) group by 1, 2""")
+def catalog_flags(spark, sf_dir):
+    return catalog.flags(*tiled(spark, sf_dir))
+
+
+@query(f"""with {IMG}, {SRC}, cells as (select s.id, ceil(s.y - 2.5)::int as y_min, ceil(s.x - 3.5)::int as x_min, j::int as j, i::int as i from src s, (select unnest(range(5)) as j), (select unnest(range(7)) as i))
+select 'all' as image_id, c.id, c.j, c.i, round(v.value, 4) as value from cells c left join img v on v.y = c.y_min + c.j and v.x = c.x_min + c.i""")
+def source_cutouts(spark, sf_dir):
+    found = catalog.cutouts(image(spark, sf_dir), stars(spark).withColumn("image_id", F.lit("all")), 5, 7)
+    lines = found.select("image_id", "id", F.posexplode("data").alias("j", "line"))
+    return rounded(lines.select("image_id", "id", "j", F.posexplode("line").alias("i", "value")))
+
+
+@query(f"with {MOD} select image_id, count(distinct label) as n_labels, max(label) as max_label, false as is_consecutive, 4096 - count(*) as background_area from segments group by 1")
+def label_summary(spark, sf_dir):
+    return segmentation.summary(*tiled(spark, sf_dir))
+
+
+@query(f"""with {img_sql(by='l_returnflag')}, src as (select i.image_id, s.* from (select distinct image_id from img) i join (values {VALUES}) s(id, x, y) on (i.image_id = 'A') = (s.id % 2 = 0)),
+w as (select s.id, i.*, case when (i.x - s.x) ** 2 + (i.y - s.y) ** 2 < 16.0 then 1.0 else 0.0 end as w from src s join img i on i.image_id = s.image_id and abs(i.x - s.x) < 6 and abs(i.y - s.y) < 6)
+select image_id, id, round(sum(value), 4) as flux, sum(w) as area from w where w > 0 and not mask group by 1, 2""")
+def aperture_own_image(spark, sf_dir):
+    """Sources that name their image are measured there alone."""
+    pixels = image(spark, sf_dir, by="l_returnflag")
+    listed = stars(spark).crossJoin(pixels.select("image_id").distinct()).where((F.col("image_id") == "A") == (F.col("id") % 2 == 0))
+    return rounded(aperture.photometry(pixels, listed, aperture.circle(4), method="center").select("image_id", "id", "flux", "area"))
+
+
+@query(f"""with {IMG}, {SRC}, b as (select id, floor(x - 2.2 + 0.5)::int as x0, ceil(x + 2.2 + 0.5)::int as x1, floor(y - 1.4 + 0.5)::int as y0, ceil(y + 1.4 + 0.5)::int as y1 from src), u as (select a.id as a, b.id as b, least(a.x0, b.x0) as ux0, greatest(a.x1, b.x1) as ux1, least(a.y0, b.y0) as uy0, greatest(a.y1, b.y1) as uy1,
+  greatest(a.x0, b.x0) as ix0, least(a.x1, b.x1) as ix1, greatest(a.y0, b.y0) as iy0, least(a.y1, b.y1) as iy1, greatest(a.x0, 0) as ox0, least(a.x1, 32) as ox1, greatest(a.y0, 0) as oy0, least(a.y1, 32) as oy1 from b a join b b on a.id <= b.id)
+select a, b, (ux1 - ux0) * (uy1 - uy0) as union_area, case when ix1 > ix0 and iy1 > iy0 then (ix1 - ix0) * (iy1 - iy0) end as shared_area, (ox1 - ox0) * (oy1 - oy0) as inside_area from u""")
+def bounding_boxes(spark, sf_dir):
+    b = stars(spark).select("id", boxes.from_float(F.col("x") - 2.2, F.col("x") + 2.2, F.col("y") - 1.4, F.col("y") + 1.4).alias("box"))
+    pairs = b.select(F.col("id").alias("a"), F.col("box").alias("p")).join(b.select(F.col("id").alias("b"), F.col("box").alias("q")), F.col("a") <= F.col("b"))
+    area = lambda c: boxes.shape(c)["height"] * boxes.shape(c)["width"]
+    made = pairs.withColumns({"u": boxes.union(F.col("p"), F.col("q")), "i": boxes.intersection(F.col("p"), F.col("q")), "o": boxes.overlap(F.col("p"), F.lit(32), F.lit(32))[0]})
+    return made.select("a", "b", area(F.col("u")).alias("union_area"), F.when(F.col("i").isNotNull(), area(F.col("i"))).alias("shared_area"), area(F.col("o")).alias("inside_area"))
+
+
+@query(f"""with {IMG}, {SRC}, cells as (select s.id, s.x, s.y, py::int as py, px::int as px from src s, (select unnest(range(-6, 40)) as py), (select unnest(range(-6, 40)) as px)),
+m as (select id, py, px, 1.0 as w from cells where (px - x) ** 2 + (py - y) ** 2 < 6.25), e as (select id, min(py) as a, max(py) as b, min(px) as c, max(px) as d from m group by 1)
+select c.id, c.py, c.px, round(coalesce(i.value * m.w, 0), 4) as value from cells c join e on e.id = c.id and c.py between a and b and c.px between e.c and e.d left join m on m.id = c.id and m.py = c.py and m.px = c.px left join img i on i.y = c.py and i.x = c.px""")
+def mask_products(spark, sf_dir):
+    return rounded(masks.multiply(image(spark, sf_dir), masks.weights(stars(spark), aperture.circle(2.5), method="center")))
+
+
+@query(f"""with {IMG}, {SRC} select 'all' as image_id, s.id, i.y, i.x, round(i.value, 4) as value from src s join img i on (i.x - s.x) ** 2 + (i.y - s.y) ** 2 < 6.25 where not mask""")
+def mask_values(spark, sf_dir):
+    return rounded(masks.values(image(spark, sf_dir), stars(spark), aperture.circle(2.5), method="center"))
+
+
+@query(f"""with {BOXES}, k as (select * from {MESH}) select i.image_id, i.y, i.x, k.n from img i join k on k.box_y = i.y // 8 and k.box_x = i.x // 8""")
+def background_n_pixels_map(spark, sf_dir):
+    pixels = image(spark, sf_dir, 64, 64)
+    return background.n_pixels_map(pixels, background.mesh(pixels, 8), 8)
+
+
+@query(f"with {BOXES}, k as (select * from {MESH}) select image_id, round(median(background), 4) as background_median, round(median(rms), 4) as rms_median from k group by 1")
+def background_medians(spark, sf_dir):
+    return rounded(background.medians(background.mesh(image(spark, sf_dir, 64, 64), 8)))
+
+
+@query()
+def background_rms_map(spark, sf_dir):
+    pixels = image(spark, sf_dir, 64, 64)
+    return rounded(background.rms_to_pixels(pixels, background.mesh(pixels, 8), 8))
+
+
+@query(f"""with {BOXES}, k as (select * from {MESH} where background is not null), p as (select i.y, i.x, k.background as v, sqrt((i.y - (box_y * 8 + 3.5)) ** 2 + (i.x - (box_x * 8 + 3.5)) ** 2) as d, row_number() over (partition by i.y, i.x order by sqrt((i.y - (box_y * 8 + 3.5)) ** 2 + (i.x - (box_x * 8 + 3.5)) ** 2), box_y, box_x) as r from img i, k)
+select 'all' as image_id, y, x, round(sum(v / d) / sum(1 / d), 4) as background from p where r <= 4 group by 2, 3""")
+def background_idw_map(spark, sf_dir):
+    pixels = image(spark, sf_dir, 64, 64)
+    return rounded(background.idw_to_pixels(pixels, background.mesh(pixels, 8).where("background is not null"), 8, 4))
+
+
+FIELD = Tan(15.5, 14.0, 120.0, 35.0, ((-0.0011, 0.0002), (0.0001, 0.0012)))
+
+
+def sky_sql(x: str, y: str) -> tuple[str, str]:
+    u, v = f"radians(({x} - 15.5) * -0.0011 + ({y} - 14.0) * 0.0002)", f"radians(({x} - 15.5) * 0.0001 + ({y} - 14.0) * 0.0012)"
+    low = f"(cos(radians(35.0::double)) - {v} * sin(radians(35.0::double)))"
+    return f"(120.0 + degrees(atan2({u}, {low})))", f"degrees(atan2(sin(radians(35.0::double)) + {v} * cos(radians(35.0::double)), sqrt({u} ** 2 + {low} ** 2)))"
+
+
+LON, LAT = sky_sql("x", "y")
+
+
+@query(f"with {SRC} select id, round({LON}, 9) as lon, round({LAT}, 9) as lat, round(x, 6) as x, round(y, 6) as y from src")
+def sky_round_trip(spark, sf_dir):
+    there = sky.with_sky(stars(spark), FIELD).select("id", "lon", "lat")
+    back = sky.with_pixel(there, FIELD)
+    return back.select("id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def jacobian_sql() -> str:
+    (ex, nx), (fx, mx), (ey, ny), (fy, my) = (sky_sql(*p) for p in (("(x + 0.5)", "y"), ("(x - 0.5)", "y"), ("x", "(y + 0.5)"), ("x", "(y - 0.5)")))
+    return f"select id, ({ex} - {fx}) * cos(radians({LAT})) * 3600 as a, ({ey} - {fy}) * cos(radians({LAT})) * 3600 as b, ({nx} - {mx}) * 3600 as c, ({ny} - {my}) * 3600 as d from src"
+
+
+@query(f"""with {SRC}, j as ({jacobian_sql()}) select id, round(sqrt(abs(a * d - b * c)), 5) as mean_scale, round(abs(a * d - b * c) / sqrt(a * a + b * b), 5) as north_scale, round(degrees(atan2(a / (a * d - b * c), -b / (a * d - b * c))), 4) as north_angle from j""")
+def sky_scales(spark, sf_dir):
+    x, y = F.col("x"), F.col("y")
+    north, angle = FIELD.scale_and_angle(x, y)
+    return stars(spark).select("id", F.round(FIELD.mean_scale(x, y), 5).alias("mean_scale"), F.round(north, 5).alias("north_scale"), F.round(angle, 4).alias("north_angle"))
+
+
+@query(f"""with {SRC}, j as ({jacobian_sql()}), m as (select id, a * cos(0.3) + b * sin(0.3) as p, c * cos(0.3) + d * sin(0.3) as q, b * cos(0.3) - a * sin(0.3) as r, d * cos(0.3) - c * sin(0.3) as s from j),
+k as (select id, 9 * p * p + 4 * r * r as xx, 9 * q * q + 4 * s * s as yy, 9 * p * q + 4 * r * s as xy from m)
+select id, round(sqrt((xx + yy) / 2 + sqrt(((xx - yy) / 2) ** 2 + xy * xy)), 4) as major, round(sqrt((xx + yy) / 2 - sqrt(((xx - yy) / 2) ** 2 + xy * xy)), 4) as minor, 3.0 as a, 2.0 as b, round(degrees(atan2(2 * xy, xx - yy) / 2), 3) as angle from k""")
+def sky_ellipses(spark, sf_dir):
+    """Ellipses taken to the sky, and their axes after the way back."""
+    there = sky.ellipses_to_sky(stars(spark).withColumns({"a": F.lit(3.0), "b": F.lit(2.0), "theta": F.lit(0.3)}), FIELD)
+    back = sky.ellipses_to_pixel(there.select("id", "lon", "lat", "major", "minor", "angle"), FIELD)
+    return back.select("id", F.round("major", 4).alias("major"), F.round("minor", 4).alias("minor"), F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.degrees("angle"), 3).alias("angle"))
+
+
+@query()
+def sky_apertures(spark, sf_dir):
+    """Circles on the sky, measured in pixels."""
+    targets = sky.with_sky(stars(spark), FIELD).select("id", "lon", "lat")
+    return rounded(sky.sky_photometry(image(spark, sf_dir), targets, FIELD, 12.0).drop("flags"))
+
+
+@query(f"with {JOINED}, {shape_sql('rows', 'image_id, label')} select image_id, label, round({sky_sql('x_centroid', 'y_centroid')[0]}, 8) as lon, round({sky_sql('x_centroid', 'y_centroid')[1]}, 8) as lat from c")
+def catalog_sky_centroids(spark, sf_dir):
+    found = sky.with_sky(catalog.source_list(*tiled(spark, sf_dir)), FIELD)
+    return found.select("image_id", F.col("id").cast("int").alias("label"), F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat"))
 
 
 RADII = [1.0, 2.0, 3.0, 4.5, 6.0]
@@ -486,6 +656,30 @@ def curve_of_growth(spark, sf_dir):
     return rounded(profiles.growth(image(spark, sf_dir), stars(spark), RADII))
 
 
+SIDE = lambda d: f"greatest(least({d} + 0.5, r.radius) - greatest({d} - 0.5, -r.radius), 0)"
+
+
+@query(f"""with {IMG}, {SRC}, rad as (select * from (values """ + ", ".join(f"({k}, {r}::double)" for k, r in enumerate(RADII)) + f""") t(step, radius)), g as (select s.id, r.step::int as step, r.radius, {SIDE('(i.x - s.x)')} * {SIDE('(i.y - s.y)')} as w, i.value from src s join img i on abs(i.x - s.x) < 8 and abs(i.y - s.y) < 8 and not mask join rad r on true)
+select 'all' as image_id, id, step, radius, round(sum(w * value), 4) as flux, round(sum(w), 4) as area from g group by 2, 3, 4""")
+def ensquared_growth(spark, sf_dir):
+    return rounded(profiles.growth(image(spark, sf_dir), stars(spark), RADII, outline="square").drop("flux_err"))
+
+
+@query()
+def elliptical_growth(spark, sf_dir):
+    return rounded(profiles.growth_elliptical(image(spark, sf_dir), stars(spark), RADII, 0.6, 0.4))
+
+
+@query()
+def profile_fits(spark, sf_dir):
+    return rounded(profiles.fitted(profiles.radial(image(spark, sf_dir), stars(spark), [0.0, *RADII]), "gaussian"), 3)
+
+
+@query(f"with {IMG}, {SRC} select 'all' as image_id, s.id, round(sqrt((i.x - s.x) ** 2 + (i.y - s.y) ** 2), 5) as radius, round(i.value, 4) as value from src s join img i on (i.x - s.x) ** 2 + (i.y - s.y) ** 2 <= 16 where not mask")
+def data_profile(spark, sf_dir):
+    return profiles.data_profile(image(spark, sf_dir), stars(spark), 4.0).select("image_id", "id", F.round("radius", 5).alias("radius"), F.round("value", 4).alias("value"))
+
+
 @query(f"""with {GROWTH}, d as (select *, flux - lag(flux) over w as df, area - lag(area) over w as da, radius - lag(radius) over w as dr, flux_err ** 2 - lag(flux_err ** 2) over w as dv from g window w as (partition by id order by step))
 select 'all' as image_id, id, step, round(radius - dr / 2, 4) as radius, round(df / da, 4) as profile, round(sqrt(greatest(dv, 0)) / da, 4) as profile_err, round(da, 4) as area from d where df is not null""")
 def radial_profile(spark, sf_dir):
