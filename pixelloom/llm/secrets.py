@@ -35,9 +35,9 @@ KINDS = {
 }
 LEAST = 16
 RANDOM = "random"
-#: Words without which a text has no match of "assign", in small letters.
-NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
-RUN = rf"[A-Za-z0-9+/=_-]{{{LEAST},}}"
+#: What a text with a match of "assign" holds in any case; and a ":" or "=".
+NAMES = r"[pP][aA][sS][sS][wW]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]"
+RUN = rf"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{{{LEAST},}}"
 #: What is tested of an uncovered run: up to an inner "=", and letters and digits alone.
 GRAINS = {"coarse": rf"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}", "fine": rf"[A-Za-z0-9]{{{LEAST},}}"}
 #: Encodings by the signs they use, in the order in which they are tried.
@@ -72,20 +72,22 @@ def opened(rows: DataFrame, arrays: list[Column], *keep: str) -> DataFrame:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """KEY, kind, start, end and value of the base kinds' matches that count, and of runs ("run"). One pass over the texts."""
-    low = F.lower("text")
-    named = F.contains(low, F.lit(NAMES[0]))
-    for name in NAMES[1:]:
-        named = named | F.contains(low, F.lit(name))
-    run = F.rlike("text", literal(rf"[A-Za-z0-9+/=_-]{{{LEAST}}}"))
-    made = [F.when(named, matches("assign", KINDS["assign"][0], 1))]
-    made += [F.when(run, matches(k, KINDS[k][0].replace("]+", f"]{{{n},}}"), 0)) for k, n in (("access", 16), ("hex", 24))]
-    made.append(F.when(run, matches("run", RUN, 0)))
+    """KEY, kind, start, end and value of the base kinds' matches that count, and of runs ("run"). One pass over the texts; access and hex lie in runs whole, and are looked for there."""
+    named = (F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))) & F.rlike("text", literal(NAMES))
+    run = F.rlike("text", literal(RUN.replace(",}", "}")))
+    made = [F.when(named, matches("assign", KINDS["assign"][0], 1)), F.when(run, matches("run", RUN, 0))]
     rows = written(opened(docs, made, *KEY).distinct(), "matches")
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*KEY, "kind").orderBy("i"))
-    least = F.create_map(*[x for k, (_, _, n) in KINDS.items() for x in (F.lit(k), F.lit(n))])
     spans = rows.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
-    return written(spans.where(F.length("value") >= F.coalesce(F.try_element_at(least, F.col("kind")), F.lit(LEAST))), "spans")
+    spans = written(spans.where((F.col("kind") == "run") | (F.length("value") >= KINDS["assign"][2])), "spans")
+    return written(spans.unionByName(within(spans.where("kind = 'run'"), {k: KINDS[k][0].replace("]+", f"]{{{n},}}") for k, n in (("access", 16), ("hex", 24))})), "spans")
+
+
+def within(parts: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """KEY, kind, start, end and value of the patterns' matches in parts (KEY, start, value) of texts."""
+    rows = opened(parts.select(*KEY, F.col("start").alias("at"), F.col("value").alias("part")), [matches(k, p, 0, "part") for k, p in patterns.items()], *KEY, "at")
+    end = F.col("at") + F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*KEY, "at", "kind").orderBy("i"))
+    return rows.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
 
 
 def uncovered(spans: DataFrame) -> DataFrame:
@@ -101,14 +103,6 @@ def uncovered(spans: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.col("from").alias("start"), F.expr("substring(own.value, cast(from - own.start + 1 as int), cast(to - from as int))").alias("value")).distinct()
 
 
-def candidates(spans: DataFrame) -> DataFrame:
-    """KEY, kind (grain), start, end and value of all that the battery tests."""
-    parts = uncovered(spans).withColumnRenamed("start", "at")
-    rows = opened(parts.withColumn("part", F.col("value")), [matches(k, p, 0, "part") for k, p in GRAINS.items()], *KEY, "at")
-    end = F.col("at") + F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*KEY, "at", "kind").orderBy("i"))
-    return rows.withColumn("end", end).select(*KEY, "kind", (F.col("end") - F.col("size")).alias("start"), "end", "value")
-
-
 def tail(z: Column) -> Column:
     """Two-sided tail of the normal law, by the logistic approximation (within 0.0002 of it)."""
     a = F.abs(z)
@@ -151,7 +145,9 @@ def battery(tokens: DataFrame) -> DataFrame:
 
 def random_values(tokens: DataFrame, alpha: float, discovery: float, digits: float) -> DataFrame:
     """The distinct runs that the battery takes for random: value. tokens: value, times."""
-    tested = battery(tokens)
+    # values are few against texts, and dear: dealt over all tasks, tested once
+    tasks = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tested = battery(tokens.repartition(max(tasks, 8), "value"))
     # the corpus' letters: signs of runs of letters only, at most 52 rows
     letters = tokens.where(F.rlike("value", literal("^[A-Za-z]+$"))).select("times", F.explode_outer(F.split("value", "")).alias("sign")).where("sign <> ''").groupBy("sign").agg(F.sum("times").cast("double").alias("times"))
     model = {r["sign"]: r["times"] for r in letters.collect()}
@@ -162,6 +158,7 @@ def random_values(tokens: DataFrame, alpha: float, discovery: float, digits: flo
     text_log = F.aggregate(F.split("value", ""), F.lit(0.0), lambda s, c: s + F.coalesce(F.try_element_at(table, c), F.lit(0.0)))
     tested = tested.withColumn("evidence", -F.col("n") * F.log("size") - text_log)
     tested = tested.withColumn("bin", F.greatest(F.floor("evidence"), F.lit(0))).withColumn("band", F.floor(F.log2("n")).cast("int"))
+    tested = written(tested.select("value", "times", "code", "band", "bin", "p_chi", "p_runs", "p_serial"), "tested")
     strata = tested.groupBy("code", "band", "bin").agg(F.sum("times").alias("times"))
     falling = Window.partitionBy("code", "band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("code", "band")
@@ -182,8 +179,8 @@ def clear_of(spans: DataFrame, solid: Column) -> DataFrame:
 def find_secrets(docs: DataFrame, alpha: float = 1e-3, discovery: float = 0.01, digits: float = 0.02) -> DataFrame:
     """KEY, kind, start, end: base spans, and spans the battery adds where no base span lies. bars are few rows: encodings times lengths by powers of two."""
     spans = scanned(keyed(docs))
-    runs = written(candidates(spans), "runs")
-    tokens = runs.groupBy("value").agg(F.count("*").alias("times"))
+    runs = written(within(uncovered(spans), GRAINS), "runs")
+    tokens = written(runs.groupBy("value").agg(F.count("*").alias("times")), "values")
     values = written(random_values(tokens, alpha, discovery, digits), "random")
     every = spans.where(F.col("kind").isin(*KINDS)).drop("value").unionByName(runs.join(beside(values), "value").drop("value"))
     base = F.col("kind").isin(*KINDS)
