@@ -70,7 +70,7 @@ def fit(pixels: DataFrame, sources: DataFrame, model: Model, half: int = 2, sepa
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         stars = group.drop_duplicates("id").sort_values("id").reset_index(drop=True)
-        good = group.good.fillna(False).to_numpy(bool)
+        good = group.good.eq(True).to_numpy(bool)
         px = group[good].drop_duplicates(["y", "x"])
         x, y = px.x.to_numpy(float), px.y.to_numpy(float)
         level = float(np.nan_to_num(stars.local_bkg.fillna(0.0).to_numpy(float)).mean()) if len(stars) else 0.0

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import boxes
+from pixelloom.functions.models import Model
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, detection, finders, isophotes, masks, profiles, psf, segmentation, simulate, sky, stats
+from pixelloom.operators import aperture, background, catalog, centroids, detection, ellipses, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -656,6 +657,54 @@ def curve_of_growth(spark, sf_dir):
     return rounded(profiles.growth(image(spark, sf_dir), stars(spark), RADII))
 
 
+RINGS = "(values (3.0::double, 0.3::double, 0.4::double), (6.5, 0.5, 1.1), (9.0, 0.1, -0.6)) t(sma, eps, pa)"
+
+
+@query(f"""with {IMG}, g as (select sma, 15.3 as x0, 16.2 as y0, eps, pa from {RINGS}), c as (select g.sma, i.value, sqrt(((i.x - x0) * cos(pa) + (i.y - y0) * sin(pa)) ** 2 + (((i.y - y0) * cos(pa) - (i.x - x0) * sin(pa)) / (1 - eps)) ** 2) as e, sqrt((i.x - x0) ** 2 + (i.y - y0) ** 2) as r from g, img i where not mask and abs(i.x - x0) < sma + 3 and abs(i.y - y0) < sma + 3)
+select 'all' as image_id, sma, round(sum(value) filter (e <= sma), 4) as flux_ellipse, round(sum(value) filter (r <= sma), 4) as flux_circle, count(*) filter (e <= sma) as n_ellipse, count(*) filter (r <= sma) as n_circle from c group by 2""")
+def ellipse_growth(spark, sf_dir):
+    rows = spark.createDataFrame([("all", 3.0, 15.3, 16.2, 0.3, 0.4), ("all", 6.5, 15.3, 16.2, 0.5, 1.1), ("all", 9.0, 15.3, 16.2, 0.1, -0.6)], "image_id string, sma double, x0 double, y0 double, eps double, pa double")
+    return rounded(ellipses.growth(image(spark, sf_dir), rows))
+
+
+@query(f"""with {IMG}, g as (select sma, 15.3 as x0, 16.2 as y0, eps, pa, greatest(24, ceil(2 * pi() * sma))::int as n from {RINGS}), s as (select sma, x0, y0, pa, 2 * pi() * k / n as phi, sma * (1 - eps) / sqrt(((1 - eps) * cos(2 * pi() * k / n)) ** 2 + sin(2 * pi() * k / n) ** 2) as r from g, lateral (select unnest(range(n)) as k)),
+p as (select sma, phi, floor(x0 + r * cos(phi + pa) + 0.5)::int as x, floor(y0 + r * sin(phi + pa) + 0.5)::int as y from s)
+select 'all' as image_id, sma, count(*) as n, round(avg(value), 4) as intensity, round(2 * avg(value * sin(phi)), 4) as s1, round(2 * avg(value * cos(phi)), 4) as c1 from p join img i using (y, x) where not mask group by 2""")
+def ellipse_samples_nearest(spark, sf_dir):
+    rows = spark.createDataFrame([("all", 3.0, 15.3, 16.2, 0.3, 0.4), ("all", 6.5, 15.3, 16.2, 0.5, 1.1), ("all", 9.0, 15.3, 16.2, 0.1, -0.6)], "image_id string, sma double, x0 double, y0 double, eps double, pa double")
+    found = ellipses.samples(image(spark, sf_dir), rows, mode="nearest").where("not outer")
+    term = lambda f: 2 * F.avg(F.col("value") * f("phi"))
+    return rounded(found.groupBy("image_id", "sma").agg(F.count("*").alias("n"), F.avg("value").alias("intensity"), term(F.sin).alias("s1"), term(F.cos).alias("c1")))
+
+
+@query()
+def isophotes(spark, sf_dir):
+    """Ellipses of three axes fitted to the table's image, whose noise mostly uses the rounds up."""
+    pixels = image(spark, sf_dir, 64, 64)
+    return rounded(ellipses.fit(pixels, ellipses.starts(pixels, [6.0, 10.0, 16.0], 31.5, 31.5), rounds=4), 3)
+
+
+@query()
+def psf_photometry(spark, sf_dir):
+    sources = stars(spark).withColumn("image_id", F.lit("all"))
+    found = photometry.fit(image(spark, sf_dir), sources, Model("gaussian_prf", (1.5,)), 3, 4.0, 3.0, (6.0, 9.0), within=1.0)
+    return rounded(found.drop("params"), 3)
+
+
+@query(f"""with {IMG}, {SRC}, a as (select s.id, sum({disc_sql('i.x - s.x', 'i.y - s.y', '3.0::double')} * i.value) as f, sum({disc_sql('i.x - s.x', 'i.y - s.y', '3.0::double')}) as area from src s join img i on abs(i.x - s.x) < 5 and abs(i.y - s.y) < 5 and not mask group by 1),
+b as (select s.id, median(i.value) as local_bkg from src s join img i on (i.x - s.x) ** 2 + (i.y - s.y) ** 2 < 81 and (i.x - s.x) ** 2 + (i.y - s.y) ** 2 >= 36 where not mask group by 1)
+select 'all' as image_id, id, round(local_bkg, 4) as local_bkg, round(f - area * local_bkg, 4) as flux from a join b using (id)""")
+def psf_initial_values(spark, sf_dir):
+    sources = stars(spark).withColumn("image_id", F.lit("all"))
+    return rounded(photometry.initial(image(spark, sf_dir), sources, 3.0, (6.0, 9.0)).select("image_id", "id", "local_bkg", "flux"))
+
+
+@query(f"""with {IMG}, {SRC} select i.image_id, i.y, i.x, round(sum(case when abs(i.x - floor(s.x + 0.5)) <= 4 and abs(i.y - floor(s.y + 0.5)) <= 4 then 900.0 * s.id * 2.0 / (pi() * 6.25) * (1 + ((i.x - s.x) ** 2 + (i.y - s.y) ** 2) / 6.25) ** -3.0 else 0 end), 5) as model from img i, src s group by 1, 2, 3""")
+def moffat_image(spark, sf_dir):
+    sources = stars(spark).withColumns({"image_id": F.lit("all"), "flux": 900.0 * F.col("id"), "local_bkg": F.lit(0.0)})
+    return rounded(photometry.model_image(image(spark, sf_dir), sources, Model("moffat", (2.5, 3.0)), 4).select("image_id", "y", "x", "model"), 5)
+
+
 SIDE = lambda d: f"greatest(least({d} + 0.5, r.radius) - greatest({d} - 0.5, -r.radius), 0)"
 
 
@@ -734,7 +783,7 @@ def total_error(spark, sf_dir):
 
 @query()
 def isophote_harmonics(spark, sf_dir):
-    return rounded(isophotes.harmonics(isophotes.ellipse_samples(image(spark, sf_dir), 16.0, 15.0, [3.0, 5.0, 8.0], 0.3, 0.4)))
+    return rounded(harmonic.harmonics(harmonic.ellipse_samples(image(spark, sf_dir), 16.0, 15.0, [3.0, 5.0, 8.0], 0.3, 0.4)))
 
 
 @query()
@@ -743,7 +792,7 @@ def isophote_fit(spark, sf_dir):
     u, v = F.col("x") - 31.2, F.col("y") - 30.4
     a, b = u * np.cos(0.6) + v * np.sin(0.6), v * np.cos(0.6) - u * np.sin(0.6)
     galaxy = pixels.withColumn("value", 1000 * F.exp(-F.sqrt(a * a + b * b / 0.49) / 6))
-    return rounded(isophotes.fit_ellipse(galaxy, 31.0, 31.0, 9.0), 3)
+    return rounded(harmonic.fit_ellipse(galaxy, 31.0, 31.0, 9.0), 3)
 
 
 SKY = Tan(15.5, 15.5, 10.0, 30.0, ((-0.001, 0.0002), (0.0002, 0.001)))

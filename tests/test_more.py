@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions import models
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, detection, photometry, profiles, psf, simulate
+from pixelloom.operators import aperture, background, catalog, detection, ellipses, photometry, profiles, psf, simulate
 from pixelloom.sources import fits
 from pixelloom.sources.images import positions
 from pixelloom.streaming import frames
@@ -183,3 +183,29 @@ def test_psf_photometry(spark):
     assert wide.fwhm == pytest.approx(1.4 * models.FWHM, rel=0.02)
     bound = photometry.fit(pixels, start.where("id = 3"), model, 3, within=0.1).first()
     assert abs(bound.x_fit - bound.x_init) <= 0.1 + 1e-9 and bound.flags & 32
+
+
+def galaxy(size: int, x0: float, y0: float, eps: float, pa: float) -> np.ndarray:
+    y, x = np.mgrid[:size, :size]
+    u, v = (x - x0) * np.cos(pa) + (y - y0) * np.sin(pa), (y - y0) * np.cos(pa) - (x - x0) * np.sin(pa)
+    return 100 * np.exp(-np.sqrt(u * u + (v / (1 - eps)) ** 2) / 12)
+
+
+def test_ellipses(spark):
+    value = galaxy(81, 40.4, 39.3, 0.4, 0.9)
+    pixels = light(spark, value)
+    found = ellipses.fit(pixels, ellipses.starts(pixels, [8.0, 14.0, 20.0], 41.0, 39.0, 0.2, 0.5), rounds=25, least=2)
+    got = sorted(found.collect(), key=lambda r: r.sma)
+    for r in got:
+        assert r.stop_code == 0 and (r.x0, r.y0) == pytest.approx((40.4, 39.3), abs=0.15) and r.eps == pytest.approx(0.4, abs=0.02) and r.pa == pytest.approx(0.9, abs=0.03)
+        assert r.intensity == pytest.approx(100 * np.exp(-r.sma / 12), rel=0.02) and r.gradient < 0 and max(abs(r.a3), abs(r.b3), abs(r.a4), abs(r.b4)) < 0.02
+    far = ellipses.fit(pixels, ellipses.starts(pixels, [70.0], 40.0, 39.0), rounds=3).first()
+    assert far.stop_code in (1, 5)
+    made = ellipses.model_image(pixels, found).collect()
+    between = [(r.model, r.value) for r in made if 100 * np.exp(-19 / 12) < r.value < 100 * np.exp(-9 / 12)]
+    assert len(between) > 100 and np.mean([abs(m / v - 1) for m, v in between]) < 0.1
+    sums = ellipses.growth(pixels, found).where("sma = 14").first()
+    y, x = np.mgrid[:81, :81]
+    assert sums.n_circle == pytest.approx(np.pi * 14**2, rel=0.03) and sums.n_ellipse == pytest.approx(np.pi * 14**2 * 0.6, rel=0.05)
+    assert ellipses.central(pixels, 40.4, 39.3).first().intensity == pytest.approx(value[39, 40])
+    assert ellipses.axes(1, 2, 0.5) == [1, 1.5] and ellipses.axes(1, 2, 0.5, linear=True) == [1, 1.5, 2]
