@@ -247,7 +247,17 @@ def background_fill_holes(spark, sf_dir):
     return rounded(background.fill_holes(mesh.withColumn("background", F.when((F.col("box_y") * 3 + F.col("box_x")) % 7 != 0, F.col("background")))))
 
 
-@query()
+def map_sql(column: str, name: str) -> str:
+    """Holes of the mesh filled from their nearest boxes, then bilinear between boxes' centres."""
+    return f"""with {BOXES}, k as (select image_id, box_y, box_x, {column} as v from {MESH}), p as (
+  select a.box_y, a.box_x, b.v, sqrt((a.box_y - b.box_y) ** 2 + (a.box_x - b.box_x) ** 2) as d, row_number() over (partition by a.box_y, a.box_x order by sqrt((a.box_y - b.box_y) ** 2 + (a.box_x - b.box_x) ** 2), b.box_y, b.box_x) as r from k a join k b on a.v is null and b.v is not null),
+full_ as (select box_y, box_x, sum(v / d) / sum(1 / d) as v from p where r <= 10 group by 1, 2 union all select box_y, box_x, v from k where v is not null),
+spot as (select image_id, y, x, value, least(greatest((y + 0.5) / 8 - 0.5, 0), 7) as q, least(greatest((x + 0.5) / 8 - 0.5, 0), 7) as u from img),
+w as (select spot.*, f.v * (1 - abs(f.box_y - q)) * (1 - abs(f.box_x - u)) as part from spot join full_ f on abs(f.box_y - q) < 1 and abs(f.box_x - u) < 1)
+select image_id, y, x, {'round(any_value(value), 4) as value, ' if name == 'background' else ''}round(sum(part), 4) as {name} from w group by 1, 2, 3"""
+
+
+@query(map_sql("background", "background"))
 def background_to_pixels(spark, sf_dir):
     pixels = image(spark, sf_dir, 64, 64)
     return rounded(background.to_pixels(pixels, background.fill_holes(background.mesh(pixels, 8)), 8))
@@ -303,12 +313,55 @@ def convolve(spark, sf_dir):
     return rounded(detection.convolve(image(spark, sf_dir), KERNEL).select("image_id", "y", "x", "convolved"))
 
 
-@query()
+def dao_sql(threshold: float, fwhm: float) -> str:
+    """The star finder's sums over each peak's cut-out, with the kernel's and the marginal fits' weights as a table."""
+    k = detection.star_kernel(fwhm)
+    hy, hx = (n // 2 for n in k["kernel"].shape)
+    sides = {"x": detection.marginal(k["gauss"], k["sigma"], True), "y": detection.marginal(k["gauss"], k["sigma"], False)}
+    names = [f"{n}_{c}" for n in "xy" for c in ("d", "dk", "ds", "dx")]
+    rows = ", ".join("(" + ", ".join([str(j - hy), str(i - hx), *(f"{float(v)!r}::double" for v in (k["kernel"][j, i], k["mask"][j, i], *(sides[n][0][c][j, i] for n in "xy" for c in ("d", "dk", "ds", "dx"))))]) + ")" for j in range(2 * hy + 1) for i in range(2 * hx + 1))
+    limit, reach = threshold * k["rel_err"], max(hx, int(2.5 * fwhm))
+
+    def fits(n: str) -> str:
+        o = sides[n][1]
+        high = f"(case when {n}_dk - {n}_d * {float(o['k'] / o['w'])!r} > 0 then ({n}_dk - {n}_d * {float(o['k'] / o['w'])!r}) / {float(o['kk'] - o['k'] ** 2 / o['w'])!r} end)"
+        raw = f"(({float(o['ks'])!r} - ({n}_ds - {float(o['s'])!r} * {n}_d)) / ({high} * {float(o['ss'] / o['sigma'] ** 2)!r}))"
+        mean = f"coalesce({n}_dx / nullif({n}_d, 0), 0)"
+        return f"{high} as high_{n}, case when {high} is null then null when abs({raw}) > {o['size'] / 2} then case when abs({mean}) > {o['size'] / 2} then 0 else {mean} end else {raw} end as shift_{n}"
+
+    return f"""with {img_sql(64, 64)}, ker as (select * from (values {rows}) t(j, i, k, m, {', '.join(names)})),
+conv as (select a.image_id, a.y, a.x, any_value(a.value) as value, sum(b.value * k) as c from img a join ker on true join img b on b.y = a.y + j and b.x = a.x + i group by 1, 2, 3),
+peaks as (select a.image_id, a.y, a.x, any_value(a.value) as value, any_value(a.c) as peak from conv a join conv b on abs(a.y - b.y) <= {reach} and abs(a.x - b.x) <= {reach} group by 1, 2, 3 having any_value(a.c) = max(b.c) and any_value(a.c) > {float(limit)!r}),
+sums as (select p.image_id, row_number() over (order by p.y, p.x) as id, p.y, p.x, any_value(p.value) as value, any_value(p.peak) as peak, sum(c.value) filter (m > 0 and not (i = 0 and j = 0)) as rest, sum(abs(c.c)) as whole, sum(c.value) as flux,
+  sum(c.c * case when i = 0 and j = 0 then 0 when i > 0 and j >= 0 then -1 when i <= 0 and j > 0 then 1 when i < 0 and j <= 0 then -1 else 1 end) as turned, {', '.join(f'sum(c.value * {n}) as {n}' for n in names)}
+  from peaks p join ker on true join conv c on c.y = p.y + j and c.x = p.x + i group by p.image_id, p.y, p.x),
+fit as (select *, {fits('x')}, {fits('y')} from sums),
+out_ as (select image_id, id, x + shift_x as x_centroid, y + shift_y as y_centroid, (value - rest / {k['n'] - 1}) / peak as sharpness, 2 * turned / whole as roundness1, 2 * (high_x - high_y) / (high_x + high_y) as roundness2, value as peak, flux, -2.5 * log10(peak / {float(limit)!r}) as daofind_mag, {k['n']} as n_pixels from fit)
+select image_id, id, {rounds('x_centroid y_centroid sharpness roundness1 roundness2 peak flux daofind_mag')}, n_pixels from out_ where sharpness between 0.2 and 1.0 and roundness1 between -1.0 and 1.0 and roundness2 between -1.0 and 1.0"""
+
+
+@query(dao_sql(0.1, 2.5))
 def dao_star_finder(spark, sf_dir):
     return rounded(detection.dao_find(image(spark, sf_dir, 64, 64), 0.1, 2.5))
 
 
-@query()
+def star_sql(threshold: float, kernel: np.ndarray) -> str:
+    """Peaks of the convolution with the kernel less its mean, and moments of the light above 0 in each cut-out."""
+    kernel = kernel / kernel.sum()
+    zero = kernel - kernel.mean()
+    zero = zero / (zero * zero).sum()
+    h = kernel.shape[0] // 2
+    rows = ", ".join(f"({j - h}, {i - h}, {float(zero[j, i])!r}::double)" for j in range(2 * h + 1) for i in range(2 * h + 1))
+    return f"""with {img_sql(64, 64)}, ker as (select * from (values {rows}) t(j, i, k)),
+conv as (select a.image_id, a.y, a.x, sum(b.value * k) as c from img a join ker on true join img b on b.y = a.y + j and b.x = a.x + i group by 1, 2, 3),
+peaks as (select a.image_id, a.y, a.x from conv a join conv b on abs(a.y - b.y) <= {h} and abs(a.x - b.x) <= {h} group by 1, 2, 3 having any_value(a.c) = max(b.c) and any_value(a.c) > {threshold}),
+m as (select p.image_id, row_number() over (order by p.y, p.x) as id, sum(v.value) as flux, max(v.value) as max_value, sum(greatest(v.value, 0)) as m, sum(greatest(v.value, 0) * v.x) as mx, sum(greatest(v.value, 0) * v.y) as my, sum(greatest(v.value, 0) * v.x * v.x) as mxx, sum(greatest(v.value, 0) * v.y * v.y) as myy, sum(greatest(v.value, 0) * v.x * v.y) as mxy
+  from peaks p join ker on true join img v on v.y = p.y + j and v.x = p.x + i group by p.image_id, p.y, p.x),
+c as (select *, mx / m as cx, my / m as cy, mxx / m - (mx / m) ** 2 as vx, myy / m - (my / m) ** 2 as vy, mxy / m - mx * my / (m * m) as vxy from m)
+select image_id, id, round(cx, 4) as x_centroid, round(cy, 4) as y_centroid, round(2 * sqrt(ln(2.0::double) * (vx + vy)), 4) as fwhm, round(sqrt((vx - vy) ** 2 + 4 * vxy * vxy) / (vx + vy), 4) as roundness, round(degrees(atan2(2 * vxy, vx - vy) / 2), 4) as orientation, round(max_value, 4) as max_value, round(flux, 4) as flux, round(case when flux > 0 then -2.5 * log10(flux) end, 4) as mag from c"""
+
+
+@query(star_sql(0.1, detection.gaussian_kernel(2.5, 5)))
 def star_finder(spark, sf_dir):
     return rounded(detection.star_find(image(spark, sf_dir, 64, 64), 0.1, detection.gaussian_kernel(2.5, 5)))
 
@@ -581,7 +634,7 @@ def background_medians(spark, sf_dir):
     return rounded(background.medians(background.mesh(image(spark, sf_dir, 64, 64), 8)))
 
 
-@query()
+@query(map_sql("rms", "rms"))
 def background_rms_map(spark, sf_dir):
     pixels = image(spark, sf_dir, 64, 64)
     return rounded(background.rms_to_pixels(pixels, background.mesh(pixels, 8), 8))
