@@ -201,6 +201,50 @@ def test_language(docs, rows):
     assert langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_brute_force(spark):
+    """Counts, matrix and posterior by plain loops over each text's n-grams."""
+    rng = np.random.default_rng(11)
+    made = [(i, "".join(rng.choice(list("abc deÉ×Z" if i % 2 else "xyz deáB."), 40)), "one" if i % 2 else "two") for i in range(40)] + [(50, None, "one"), (51, "", "two"), (52, "1 2", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    names, matrix = langid.train(docs, bits=6, max_train=1000)
+
+    def buckets(text):
+        low = [ord(c) + 32 if 65 <= ord(c) <= 90 or 192 <= ord(c) <= 222 and ord(c) != 215 else ord(c) for c in text]
+        for i in range(len(low)):
+            key = 0
+            for n in range(1, min(3, len(low) - i) + 1):
+                key = (key * 0x100000001B3 + low[i + n - 1] + n) % (1 << 64)
+                yield (key * 0x9E3779B97F4A7C15 % (1 << 64)) >> 58
+
+    counts = {k: Counter(b for _, t, lang in made if lang == k and t for b in buckets(t)) for k in ("one", "two")}
+    logs = {k: {b: math.log((c[b] + 0.5) / (sum(c.values()) + 32)) for b in range(64)} for k, c in counts.items()}
+    assert names == ["one", "two"] and np.allclose(matrix, [[logs[k][b] for b in range(64)] for k in names], atol=1e-5)
+    for r, (_, t, _) in zip(sorted(langid.predict(docs, names, matrix, ["doc_id"]).collect(), key=lambda r: r.doc_id), sorted(made), strict=True):
+        sums = {k: sum(logs[k][b] for b in buckets(t or "")) for k in names}
+        best = max(names, key=lambda k: sums[k])
+        if any(c.isalpha() for c in t or ""):
+            assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - sums[best]) for v in sums.values()), abs=1e-3)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+
+
+def test_packing_takes_the_cheapest_sequence():
+    """Each tail, by falling cost, goes to the sequence of lowest cost with room; without room it is cut over those with most."""
+    rng = np.random.default_rng(12)
+    lengths = rng.integers(1, 100, 60)
+    room, cost = [100] * -(-int(lengths.sum()) // 100), [0.0] * -(-int(lengths.sum()) // 100)
+    got = packing.assign(lengths, 100, 1.0, 0.01)
+    order = sorted(range(60), key=lambda d: -lengths[d])
+    assert [d for k, (d, *_) in enumerate(got) if not k or got[k - 1][0] != d] == order
+    for doc, start, take, to in got:
+        left = int(lengths[doc]) - start
+        fitting = [k for k, r in enumerate(room) if r >= left]
+        assert to == (min(fitting, key=lambda k: cost[k]) if fitting else max(range(len(room)), key=lambda k: room[k])) and take == min(left, room[to])
+        room[to] -= take
+        cost[to] += take + 0.01 * take * take
+    assert sum(room) < 100
+
+
 def test_many_languages(spark):
     made = [(10 * k + i, " ".join(chr(0x4E00 + 50 * k + (7 * i + j) % 50) * 2 for j in range(60)), f"l{k:03}") for k in range(70) for i in range(10)]
     got = langid.identify(spark.createDataFrame(made, "doc_id long, text string, lang string"), keep=["doc_id", "lang"]).collect()
