@@ -602,13 +602,13 @@ def aperture_own_image(spark, sf_dir):
 
 @query(f"""with {IMG}, {SRC}, b as (select id, floor(x - 2.2 + 0.5)::int as x0, ceil(x + 2.2 + 0.5)::int as x1, floor(y - 1.4 + 0.5)::int as y0, ceil(y + 1.4 + 0.5)::int as y1 from src), u as (select a.id as a, b.id as b, least(a.x0, b.x0) as ux0, greatest(a.x1, b.x1) as ux1, least(a.y0, b.y0) as uy0, greatest(a.y1, b.y1) as uy1,
   greatest(a.x0, b.x0) as ix0, least(a.x1, b.x1) as ix1, greatest(a.y0, b.y0) as iy0, least(a.y1, b.y1) as iy1, greatest(a.x0, 0) as ox0, least(a.x1, 32) as ox1, greatest(a.y0, 0) as oy0, least(a.y1, 32) as oy1 from b a join b b on a.id <= b.id)
-select a, b, (ux1 - ux0) * (uy1 - uy0) as union_area, case when ix1 > ix0 and iy1 > iy0 then (ix1 - ix0) * (iy1 - iy0) end as shared_area, (ox1 - ox0) * (oy1 - oy0) as inside_area from u""")
+select a, b, (ux1 - ux0) * (uy1 - uy0) as union_area, case when ix1 > ix0 and iy1 > iy0 then (ix1 - ix0) * (iy1 - iy0) else 0 end as shared_area, (ox1 - ox0) * (oy1 - oy0) as inside_area from u""")
 def bounding_boxes(spark, sf_dir):
     b = stars(spark).select("id", boxes.from_float(F.col("x") - 2.2, F.col("x") + 2.2, F.col("y") - 1.4, F.col("y") + 1.4).alias("box"))
     pairs = b.select(F.col("id").alias("a"), F.col("box").alias("p")).join(b.select(F.col("id").alias("b"), F.col("box").alias("q")), F.col("a") <= F.col("b"))
     area = lambda c: boxes.shape(c)["height"] * boxes.shape(c)["width"]
     made = pairs.withColumns({"u": boxes.union(F.col("p"), F.col("q")), "i": boxes.intersection(F.col("p"), F.col("q")), "o": boxes.overlap(F.col("p"), F.lit(32), F.lit(32))[0]})
-    return made.select("a", "b", area(F.col("u")).alias("union_area"), F.when(F.col("i").isNotNull(), area(F.col("i"))).alias("shared_area"), area(F.col("o")).alias("inside_area"))
+    return made.select("a", "b", area(F.col("u")).alias("union_area"), F.coalesce(area(F.col("i")), F.lit(0)).alias("shared_area"), area(F.col("o")).alias("inside_area"))
 
 
 @query(f"""with {IMG}, {SRC}, cells as (select s.id, s.x, s.y, py::int as py, px::int as px from src s, (select unnest(range(-6, 40)) as py), (select unnest(range(-6, 40)) as px)),
