@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, cover_tree, decontam, langid, maxent, minhash, packing, secrets, toxicity, warc
+from pixelloom.llm import bitplane, cover_tree, decontam, langid, maxent, minhash, packing, secrets, sharding, toxicity, warc
 from pixelloom.llm.common import table
 
 
@@ -73,8 +73,12 @@ def op10_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"), 8)
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup, op11_external_shuffle)}
 
 
 def oracle_sql() -> dict:
