@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bitplane, cover_tree, decontam, langid, maxent, minhash, packing, secrets, sharding, toxicity, warc
+from pixelloom.llm import bitplane, cover_tree, decontam, langid, maxent, minhash, negatives, packing, periodic, secrets, sharding, toxicity, warc
 from pixelloom.llm.common import table
 
 
@@ -77,8 +77,16 @@ def op11_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(table(spark, sf_dir, "documents"), 8)
 
 
+def op12_distance_key_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_tree_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup, op11_external_shuffle)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_cover_tree_links, op2_warc_merkle_audit, op3_bitplane_tokens, op4_hashed_maxent, op5_randomness_secrets, op6_naive_bayes_language, op7_cost_balanced_packing, op8_template_decontamination, op9_kneser_ney_toxicity, op10_probminhash_dedup, op11_external_shuffle, op12_distance_key_negatives, op13_suffix_tree_runs)}
 
 
 def oracle_sql() -> dict:
