@@ -128,7 +128,7 @@ class Index:
         self.exact = self.dim * (size[3] or 0.0) ** 2 < 2**53
         drawn = rows.where(F.pmod(F.xxhash64("vec_id", "label"), F.lit(1 << 20)) < min(1.0, 2 * sample / max(self.total, 1)) * (1 << 20)).limit(sample).union(rows.limit(1))
         centres = augmented(matrix([bytes(r["x"]) for r in drawn.select("x").collect()], self.dim), self.longest)
-        centres = farthest_first(centres, max(1, min(pivots, self.total // 2048))) if self.total else centres
+        centres = farthest_first(centres, max(1, min(pivots, self.total // 256))) if self.total else centres
         self.pivots = spark.sparkContext.broadcast(centres)
         dim, longest, shared = self.dim, self.longest, self.pivots
 
