@@ -254,9 +254,10 @@ def decode_flags(flags: Column, names: dict[int, str] | None = None) -> Column:
 def corrected_neighbours(pixels: DataFrame, segments: DataFrame, sources: DataFrame, shape: Shape, how: str = "mask", method: str = "center") -> DataFrame:
     """Sums with other sources' pixels left out ("mask"), with only the own segment ("source_only"), or with a neighbour's pixel replaced by the one mirrored at the centre ("correct"). flags: neighbor_pixels, uncorrected_pixels.
 
-    sources: id, x, y, label.
+    sources: id, x, y, label, and image_id where a source belongs to one image; without it, it stands for each.
     """
-    rows = covered(pixels, footprint(sources.select("id", "x", "y"), shape, method=method)).join(sources.select("id", "label"), "id")
+    own = named(sources)
+    rows = covered(pixels, footprint(sources.select(*own, "x", "y"), shape, method=method)).join(sources.select(*own, "label"), own)
     rows = rows.join(segments.select("image_id", "y", "x", F.col("label").alias("there")), ["image_id", "y", "x"], "left")
     other = F.col("there").isNotNull() & (F.col("there") != F.col("label"))
     rows = rows.withColumn("left_out", ~F.coalesce(F.col("there") == F.col("label"), F.lit(False)) if how == "source_only" else other)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import fdiv
+from pixelloom.functions.tables import kept
 from pixelloom.operators import stats
 from pixelloom.operators.aperture import Shape, covered, footprint
 
@@ -127,14 +128,41 @@ def medians(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("image_id").agg(F.median("background").alias("background_median"), F.median("rms").alias("rms_median"))
 
 
+def nearest_boxes(cells: DataFrame, boxes: DataFrame, neighbours: int) -> DataFrame:
+    """For each cell (image_id, by, bx) the boxes (cy, cx, v) among which are the nearest ones of any place in it, however wide the mesh's holes are.
+
+    Rounds look twice as far each, by joins on coarse places, for the cells still open: a cell is done when its last neighbour,
+    seen from its middle, is nearer than the reach by a cell's diagonal, or the reach holds the whole mesh.
+    """
+    known = boxes.select("image_id", F.col("box_y").alias("cy"), F.col("box_x").alias("cx"), F.col("background").alias("v"))
+    size = cells.agg(F.max(F.greatest("by", "bx"))).first()[0] or 0
+    widest = max(size, known.agg(F.max(F.greatest("cy", "cx"))).first()[0] or 0) * 2**0.5 + 1
+    around = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)]))
+    keys, reach, out, diagonal = ["image_id", "by", "bx"], int(neighbours**0.5) + 2, None, 2**0.5
+    while True:
+        place = lambda c: F.floor(F.col(c) / reach)  # noqa: B023, E731
+        sent = cells.select("*", around.alias("s")).select(*keys, (place("by") + F.col("s.j")).alias("py"), (place("bx") + F.col("s.i")).alias("px"))
+        met = sent.join(known.withColumns({"py": place("cy"), "px": place("cx")}), ["image_id", "py", "px"]).withColumn("d", F.hypot(F.col("by") - F.col("cy"), F.col("bx") - F.col("cx"))).where(F.col("d") <= reach).drop("py", "px")
+        met = kept(met.withColumn("far", F.get(F.array_sort(F.collect_list("d").over(Window.partitionBy(*keys))), F.lit(neighbours - 1))), "near")
+        last = reach >= widest
+        done = met if last else met.where(F.col("far") + diagonal <= reach)
+        done = done.where(F.coalesce(F.col("d") <= F.col("far") + diagonal, F.lit(True))).select(*keys, "cy", "cx", "v")
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        cells = kept(cells.join(done.select(*keys).distinct(), keys, "left_anti"), "open")
+        if cells.isEmpty():
+            return out
+        reach *= 2
+
+
 def idw_to_pixels(pixels: DataFrame, boxes: DataFrame, size: int, neighbours: int = 10, power: float = 1.0) -> DataFrame:
-    """(image_id, y, x, background): at each pixel the mean of the nearest boxes' centres by inverse distance. Boxes come from a neighbourhood of the pixel's own that surely holds the nearest ones of a mesh without holes, so the join is on places."""
-    reach = int(neighbours**0.5 / 2) + 2
-    steps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in range(-2 * reach, 2 * reach + 1) for i in range(-2 * reach, 2 * reach + 1)])
+    """(image_id, y, x, background): at each pixel the mean of the nearest boxes' centres by inverse distance. Boxes that are missing or null are passed over; a pixel of an image without any box stays, with null."""
     rows = pixels.select("image_id", "y", "x", F.floor(F.col("y") / size).cast("int").alias("by"), F.floor(F.col("x") / size).cast("int").alias("bx"))
-    sent = boxes.select("image_id", F.col("box_y").alias("cy"), F.col("box_x").alias("cx"), F.col("background").alias("v"), F.explode(steps).alias("s")).select("image_id", "cy", "cx", "v", (F.col("cy") + F.col("s.j")).alias("by"), (F.col("cx") + F.col("s.i")).alias("bx"))
+    cells = kept(rows.select("image_id", "by", "bx").distinct(), "cells")
+    sent = nearest_boxes(cells, boxes.where("background is not null"), neighbours)
     centre = lambda c: (F.col(c) + 0.5) * size - 0.5
-    met = rows.join(sent, ["image_id", "by", "bx"]).withColumn("d", F.hypot(F.col("y") - centre("cy"), F.col("x") - centre("cx")))
+    met = rows.join(sent, ["image_id", "by", "bx"], "left").withColumn("d", F.hypot(F.col("y") - centre("cy"), F.col("x") - centre("cx")))
     near = met.withColumn("rank", F.row_number().over(Window.partitionBy("image_id", "y", "x").orderBy("d", "cy", "cx"))).where(F.col("rank") <= neighbours)
     w = F.when(F.col("d") > 0, 1 / F.pow(F.greatest("d", F.lit(1e-12)), F.lit(power)))
     return near.groupBy("image_id", "y", "x").agg(F.coalesce(F.max(F.when(F.col("d") == 0, F.col("v"))), fdiv(F.sum(w * F.col("v")), F.sum(w))).alias("background"))

@@ -30,12 +30,14 @@ def gaussian_prf(dx: np.ndarray, dy: np.ndarray, flux: float, sigma: float) -> n
 
 
 def render(pixels: DataFrame, sources: DataFrame, sigma: float, reach: int) -> DataFrame:
-    """pixels with `model`, the sum of Gaussian sources (id, x, y, flux) within `reach` pixels of each."""
+    """pixels with `model`, the sum of Gaussian sources (id, x, y, flux) within `reach` pixels of each; sources with an image_id shine on that image, others on all."""
     span = F.sequence(F.lit(-reach), F.lit(reach))
-    cells = sources.select("x", "y", "flux", F.explode(span).alias("j")).select("x", "y", "flux", (F.floor(F.col("y") + 0.5) + F.col("j")).cast("int").alias("py"), F.explode(span).alias("i"))
-    cells = cells.select("py", (F.floor(F.col("x") + 0.5) + F.col("i")).cast("int").alias("px"), "x", "y", "flux")
-    light = cells.select(F.col("py").alias("y_"), F.col("px").alias("x_"), gaussian(F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("flux"), F.lit(float(sigma))).alias("light")).groupBy("y_", "x_").agg(F.sum("light").alias("model"))
-    return pixels.join(light, (pixels["y"] == light["y_"]) & (pixels["x"] == light["x_"]), "left").drop("y_", "x_").withColumn("model", F.coalesce("model", F.lit(0.0)))
+    on = [c for c in ("image_id",) if c in sources.columns]
+    cells = sources.select(*on, "x", "y", "flux", F.explode(span).alias("j")).select(*on, "x", "y", "flux", (F.floor(F.col("y") + 0.5) + F.col("j")).cast("int").alias("py"), F.explode(span).alias("i"))
+    cells = cells.select(*on, "py", (F.floor(F.col("x") + 0.5) + F.col("i")).cast("int").alias("px"), "x", "y", "flux")
+    light = cells.select(*on, F.col("py").alias("y_"), F.col("px").alias("x_"), gaussian(F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("flux"), F.lit(float(sigma))).alias("light")).groupBy(*on, "y_", "x_").agg(F.sum("light").alias("model"))
+    light = light.withColumnsRenamed({"y_": "y", "x_": "x"})
+    return pixels.join(light, [*on, "y", "x"], "left").select(*pixels.columns, F.coalesce("model", F.lit(0.0)).alias("model"))
 
 
 def residual(pixels: DataFrame, sources: DataFrame, sigma: float, reach: int) -> DataFrame:
@@ -83,14 +85,15 @@ def least_squares(model, start: np.ndarray, value: np.ndarray, weight: np.ndarra
 
 
 def fit(pixels: DataFrame, sources: DataFrame, sigma: float, half: int = 2) -> DataFrame:
-    """Gaussian PRF fits of sources (id, group_id, x, y, flux) with their group's members at once: (image_id, id, x_fit, y_fit, flux_fit, their errors, qfit, cfit, reduced_chi2, n_pixels, rounds).
+    """Gaussian PRF fits of sources (id, group_id, x, y, flux; image_id where they belong to one image) with their group's members at once: (image_id, id, x_fit, y_fit, flux_fit, their errors, qfit, cfit, reduced_chi2, n_pixels, rounds).
 
     A group is small against an image: only its pixels and sources meet in a task.
     """
     span = F.sequence(F.lit(-half), F.lit(half))
-    cells = sources.select("id", "group_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "flux", F.explode(span).alias("j")).select("*", F.explode(span).alias("i"))
+    on = [c for c in ("image_id",) if c in sources.columns]
+    cells = sources.select(*on, "id", "group_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "flux", F.explode(span).alias("j")).select("*", F.explode(span).alias("i"))
     cells = cells.withColumn("y", (F.floor(F.col("y0") + 0.5) + F.col("j")).cast("int")).withColumn("x", (F.floor(F.col("x0") + 0.5) + F.col("i")).cast("int"))
-    rows = cells.join(pixels.where(~F.coalesce("mask", F.lit(False))).select("image_id", "y", "x", "value", "error"), ["y", "x"]).drop("i", "j")
+    rows = cells.join(pixels.where(~F.coalesce("mask", F.lit(False))).select("image_id", "y", "x", "value", "error"), [*on, "y", "x"]).drop("i", "j")
     kind = pixels.schema["image_id"].dataType.simpleString()
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:

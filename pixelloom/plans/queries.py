@@ -462,11 +462,11 @@ def label_remove_border(spark, sf_dir):
     return segmentation.remove_border_labels(tiled(spark, sf_dir)[1], 64, 64, 2)
 
 
-@query(f"with {MOD} select image_id, y, x, label from segments where label not in (select label from segments join img using (image_id, y, x) where mask and value > 1.2 * (select avg(value) from img))")
+@query(f"with {MOD} select image_id, y, x, label from segments where label not in (select label from segments join img using (image_id, y, x) where mask and value > (select quantile_cont(value, 0.98) from img))")
 def label_remove_masked(spark, sf_dir):
     pixels, segments = tiled(spark, sf_dir)
-    mean = pixels.agg(F.avg("value")).first()[0]
-    return segmentation.remove_masked_labels(segments, pixels.where(F.col("mask") & (F.col("value") > 1.2 * mean)))
+    high = pixels.agg(F.percentile("value", 0.98)).first()[0]
+    return segmentation.remove_masked_labels(segments, pixels.where(F.col("mask") & (F.col("value") > high)))
 
 
 @query(f"with {MOD} select 'all' as image_id, unnest(range(1, (select max(label) + 1 from segments)))::int as label except select image_id, label from segments")
