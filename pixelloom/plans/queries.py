@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import boxes
 from pixelloom.functions.models import Model
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, detection, ellipses, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
+from pixelloom.operators import aperture, background, catalog, centroids, detection, ellipses, epsf, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -493,6 +493,34 @@ def label_perimeter(spark, sf_dir):
     return rounded(segmentation.perimeter(tiled(spark, sf_dir)[1]), 5)
 
 
+def part_stars(spark, sf_dir) -> DataFrame:
+    """A star for each part, on the image of a supplier."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet")
+    owner = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("image_id"))
+    n = owner.count()
+    named = rows.select((F.col("p_partkey") % n + 1).alias("image_id"), F.col("p_partkey").alias("id"), (4 + F.col("p_retailprice") * 7 % 24).alias("x"), (4 + F.col("p_partkey") * 5.3 % 23).alias("y"))
+    return named.join(owner, "image_id")
+
+
+PART_STARS = """ps as (select p_partkey % (select count(*) from supplier) + 1 as image_id, p_partkey as id, 4 + p_retailprice * 7 % 24 as x, 4 + p_partkey * 5.3::double % 23 as y from part)"""
+
+
+@query(f"""with {img_sql(32, 32, 'l_suppkey')}, {PART_STARS},
+c as (select s.image_id, s.id, s.x as sx, s.y as sy, i.x, i.y, i.value from ps s join img i on i.image_id = s.image_id and abs(i.x - floor(s.x + 0.5)) <= 3 and abs(i.y - floor(s.y + 0.5)) <= 3),
+f as (select image_id, id, sum(value) as flux from c group by 1, 2)
+select (floor((y - sy) * 2 + 0.5) + 7)::int as j, (floor((x - sx) * 2 + 0.5) + 7)::int as i, count(*) as n, round(sum(value / flux), 4) as total, round(sum(value * value / flux / flux), 4) as squares from c join f using (image_id, id) where flux > 0 group by 1, 2""")
+def epsf_cells(spark, sf_dir):
+    found = epsf.cut_outs(image(spark, sf_dir, 32, 32, "l_suppkey").drop("mask"), part_stars(spark, sf_dir), 3)
+    side = epsf.shape_of(3, 2)
+    return rounded(epsf.cell_sums(found, np.zeros((side, side)), 2))
+
+
+@query()
+def epsf_build(spark, sf_dir):
+    grid, _ = epsf.build(image(spark, sf_dir, 32, 32, "l_suppkey").drop("mask"), part_stars(spark, sf_dir), 3, over=2, rounds=2)
+    return rounded(epsf.as_table(spark, grid, 2), 6)
+
+
 @query(f"""with {img_sql(64, 64, 'l_returnflag')}, k0 as (select * from img where not mask), """ + ", ".join(f"k{n + 1} as materialized (select c.* from k{n} c join (select image_id, avg(value) as m, stddev_pop(value) as s from k{n} group by 1) b using (image_id) where abs(value - m) <= 3 * s)" for n in range(10)) + " select image_id, round(avg(value) + 2 * stddev_pop(value), 5) as threshold from k10 group by 1")
 def detect_threshold(spark, sf_dir):
     return rounded(segmentation.threshold(image(spark, sf_dir, 64, 64, "l_returnflag"), 2.0), 5)
