@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.columns import fdiv, root
-from pixelloom.operators import psf, segmentation
+from pixelloom.operators import deblend, psf, segmentation
 from pixelloom.operators.detection import convolve, cut_outs, find_peaks, numbered, star_kernel, top_by_flux
 
 
@@ -38,7 +38,7 @@ def iraf_find(pixels: DataFrame, threshold: float, fwhm: float, sharp: tuple[flo
 def find_sources(pixels: DataFrame, over: Column, n_pixels: int, split: bool = True, **options) -> DataFrame:
     """segments of the pixels where `over` holds, deblended if asked for."""
     segments = segmentation.label(pixels, over, n_pixels)
-    return segmentation.deblend(pixels, segments, n_pixels, **options).select("image_id", "y", "x", "label") if split else segments
+    return deblend.deblend(pixels, segments, n_pixels, **options).select("image_id", "y", "x", "label") if split else segments
 
 
 def repeated_photometry(pixels: DataFrame, threshold: float, sigma: float, rounds: int = 2, half: int = 2, separation: float = 3.0) -> DataFrame:

@@ -1,11 +1,7 @@
-"""Segmentation: thresholds, connected labels, label algebra, deblending. `segments`: image_id, y, x, label (> 0 only)."""
+"""Segmentation: thresholds, connected labels, label algebra. `segments`: image_id, y, x, label (> 0 only)."""
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,68 +161,3 @@ def perimeter(segments: DataFrame) -> DataFrame:
     one, root2 = F.col("code").isin(5, 7, 15, 17, 25, 27), F.col("code").isin(21, 33)
     length = F.when(one, 1.0).when(root2, 2**0.5).when(F.col("code").isin(13, 23), (1 + 2**0.5) / 2).otherwise(0.0)
     return codes.groupBy("image_id", "label").agg(F.sum(length).alias("perimeter"))
-
-
-def deblend(pixels: DataFrame, segments: DataFrame, n_pixels: int, levels: int = 32, contrast: float = 0.001, mode: str = "exponential", connectivity: int = 8) -> DataFrame:
-    """Segments split at several thresholds and flooded from the markers found; one label is one group, as a source is small against an image. Labels below 2 n_pixels stay."""
-    rows = pixels.join(segments, ["image_id", "y", "x"]).select("image_id", "label", "y", "x", "value")
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i or j) and (connectivity == 8 or not (i and j))]
-
-    def parts(on: set, least: int) -> list[set]:
-        found, left = [], set(on)
-        while left:
-            stack, own = [left.pop()], set()
-            while stack:
-                p = stack.pop()
-                own.add(p)
-                for i, j in steps:
-                    q = (p[0] + i, p[1] + j)
-                    if q in left:
-                        left.remove(q)
-                        stack.append(q)
-            if len(own) >= least:
-                found.append(own)
-        return found
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        light = dict(zip(zip(group.y, group.x, strict=True), group.value.astype(float), strict=True))
-        low, high = min(light.values()), max(light.values())
-        t = np.arange(1, levels + 1) / (levels + 1)
-        if mode == "sinh":
-            t = np.sinh(t / 0.25) / np.sinh(1 / 0.25)
-        cuts = low * (high / low) ** t if mode == "exponential" and low > 0 else low + (high - low) * t
-        markers = [set(light)]
-        if len(light) >= 2 * n_pixels and high > low:
-            for cut in cuts:
-                for m in list(markers):
-                    inner = parts({p for p in m if light[p] > cut}, n_pixels)
-                    if len(inner) > 1:
-                        markers.remove(m)
-                        markers += inner
-        total = sum(light.values())
-        while True:
-            owner = {p: k for k, m in enumerate(sorted(markers, key=min)) for p in m} if len(markers) > 1 else dict.fromkeys(light, 0)
-            heap = [(-light[p], p) for p in owner]
-            heapq.heapify(heap)
-            while heap:
-                _, p = heapq.heappop(heap)
-                for i, j in steps:
-                    q = (p[0] + i, p[1] + j)
-                    if q in light and q not in owner:
-                        owner[q] = owner[p]
-                        heapq.heappush(heap, (-light[q], q))
-            flux = np.zeros(max(owner.values()) + 1)
-            for p, k in owner.items():
-                flux[k] += light[p]
-            if len(flux) == 1 or total <= 0 or flux.min() / total >= contrast:
-                break
-            ordered = sorted(markers, key=min)
-            markers = [m for k, m in enumerate(ordered) if k != int(flux.argmin())]
-            if len(markers) == 1:
-                markers = [set(light)]
-        return group[["image_id", "label", "y", "x"]].assign(part=[owner.get(p, 0) for p in zip(group.y, group.x, strict=True)])
-
-    kind = segments.schema["image_id"].dataType.simpleString()
-    found = rows.groupBy("image_id", "label").applyInPandas(split, f"image_id {kind}, label int, y int, x int, part int")
-    order = found.select("image_id", "label", "part").distinct().withColumn("new", F.row_number().over(Window.partitionBy("image_id").orderBy("label", "part")))
-    return found.join(order, ["image_id", "label", "part"]).select("image_id", "y", "x", F.col("new").alias("label"), F.col("label").alias("parent"))

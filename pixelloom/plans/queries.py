@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import boxes
 from pixelloom.functions.models import Model
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, detection, ellipses, epsf, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
+from pixelloom.operators import aperture, background, catalog, centroids, deblend, detection, ellipses, epsf, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -529,7 +529,7 @@ def detect_threshold(spark, sf_dir):
 @query()
 def deblend_sources(spark, sf_dir):
     pixels, segments = tiled(spark, sf_dir)
-    return segmentation.deblend(pixels, segments, 4, 8, 0.01)
+    return deblend.deblend(pixels, segments, 4, 8, 0.01)
 
 
 JOINED = f"{MOD}, rows as (select s.label, i.* from segments s join img i using (image_id, y, x))"

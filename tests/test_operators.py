@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelloom.functions.geometry import ellipse_area, polygon_area_in_pixels
-from pixelloom.operators import aperture, background, centroids, detection, profiles, psf, segmentation, stats
+from pixelloom.operators import aperture, background, centroids, deblend, detection, profiles, psf, segmentation, stats
 from pixelloom.sources.images import grid, positions
 
 
@@ -107,7 +107,7 @@ def test_deblend_two(spark):
     pixels = plane(spark, v)
     segments = segmentation.label(pixels, F.col("value") > 1, 5)
     assert segments.select("label").distinct().count() == 1
-    split = segmentation.deblend(pixels, segments, 5)
+    split = deblend.deblend(pixels, segments, 5)
     assert split.select("label").distinct().count() == 2
     assert split.where("x < 19").select("label").distinct().count() == 1
 
