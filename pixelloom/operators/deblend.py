@@ -14,7 +14,7 @@ Last, where the faintest part of a label has less than `contrast` of its light,
 the neighbour along their best edge, again and again; here the parts of one label, not its pixels, meet in one task.
 
 Defined results: labels of fewer than 2 n_pixels, of one value, or without two markers stay whole; a null or NaN value counts as the label's
-lowest; pixels that no marker reaches go with the label's first part; parts are numbered by image, label and first
+lowest; pixels that no marker reaches go with the label's first part in the end, and count for none before; parts are numbered by image, label and first
 marker pixel; no segments give no rows.
 """
 
@@ -170,7 +170,7 @@ def forest(edges: DataFrame, roots: DataFrame, side: int = 64, rows_per_task: in
 
 
 def merged(parts: DataFrame, borders: DataFrame, contrast: float) -> DataFrame:
-    """(image_id, label, seed, part): the parts of each label, numbered from 0, that its basins (seed, light) make when the faintest with less than contrast of the light go, one after another, along the best border (one, other, best) to a neighbour."""
+    """(image_id, label, seed, part): the parts of each label, numbered from 0, that its basins (seed, light; total: the label's) make when the faintest with less than contrast of the total go, one after another, along the best border (one, other, best) to a neighbour."""
     kind = ", ".join(f"{c} {t}" for c, t in parts.select(*OF).dtypes)
 
     def run(basins: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -180,7 +180,7 @@ def merged(parts: DataFrame, borders: DataFrame, contrast: float) -> DataFrame:
         near: dict = {v: {} for v in seeds}
         for one, other, order in zip(edges.one, edges.other, zip(edges.lo, edges.hi, -edges.u, -edges.v, strict=True), strict=True):
             near[one][other] = near[other][one] = order
-        total, heap = sum(light.values()), [(v, k) for k, v in light.items()]
+        total, heap = float(basins.total.iloc[0]), [(v, k) for k, v in light.items()]
         heapq.heapify(heap)
         while len(light) > 1 and total > 0:
             least, k = heap[0]
@@ -217,10 +217,8 @@ def deblend(pixels: DataFrame, segments: DataFrame, n_pixels: int, levels: int =
     some = rows.join(found.select(*OF).distinct(), OF, "left_semi")
     edges = kept(edges_of(some, connectivity), "neighbours")
     owner = forest(edges, found.select(*OF, code().alias("node"), "seed"), side)
-    basins = some.withColumn("node", code()).join(owner, [*OF, "node"], "left")
-    least = owner.groupBy(*OF).agg(F.min("seed").alias("least"))
-    basins = kept(basins.join(least, OF).select(*PIXEL, "node", "value", F.coalesce("seed", "least").alias("seed")), "basins")
-    light = basins.groupBy(*OF, "seed").agg(F.sum("value").alias("light"))
+    basins = kept(some.withColumn("node", code()).join(owner, [*OF, "node"], "left").select(*PIXEL, "node", "value", "seed"), "basins")
+    light = basins.where("seed is not null").groupBy(*OF, "seed").agg(F.sum("value").alias("light")).join(basins.groupBy(*OF).agg(F.sum("value").alias("total")), OF)
     at = lambda end, to: basins.select(*OF, F.col("node").alias(end), F.col("seed").alias(to))
     across = edges.join(at("u", "one"), [*OF, "u"]).join(at("v", "other"), [*OF, "v"]).where("one <> other")
     borders = across.groupBy(*OF, F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).agg(F.max(order()).alias("e"))

@@ -68,14 +68,15 @@ def plain(light, n_pixels, levels, contrast, mode, connectivity):
                 if root.get(b):
                     a, b = b, a
                 top[b] = a
-        owner = {p: head(p) if root.get(head(p)) else min(marks[0]) for p in light}
+        owner = {p: head(p) if root.get(head(p)) else None for p in light}
         flux = {min(m): 0.0 for m in marks}
         for p, k in owner.items():
-            flux[k] += light[p]
+            if k:
+                flux[k] += light[p]
         worst = min(flux, key=lambda k: (flux[k], k))
         if sum(light.values()) <= 0 or flux[worst] / sum(light.values()) >= contrast:
             number = {k: n for n, k in enumerate(sorted(flux))}
-            return {p: number[k] for p, k in owner.items()}
+            return {p: number.get(k, 0) for p, k in owner.items()}
         marks = [m for m in marks if min(m) != worst]
 
 
