@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 32, ro
     heads = own.where("bands is not null").dropDuplicates(["doc", "bands"]).select("doc", "bands")
     keyed = heads.select("doc", F.explode(F.array_distinct("bands")).alias("key"))
     # documents of several texts, each of which may have its own first copy
-    mixed_ids = own.where("doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
-    bound = written(mixed_ids.select("a", "b").union(mixed_ids.select(F.col("doc_id").alias("a"), "b")), "bound")
+    mixed_ids = written(own.where("doc is not null").groupBy("doc_id").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("doc_id"), "mixed")
+    bound = written(own.join(beside(mixed_ids), "doc_id").where("doc <> doc_id").select(F.col("doc_id").alias("a"), F.col("doc").alias("b")).distinct(), "bound")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("hub")).where("size > 1")
     members = written(keyed.join(shared, "key"), "buckets")
 
