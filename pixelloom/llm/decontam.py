@@ -1,12 +1,14 @@
 """Benchmark decontamination by template windows, with DataFrame functions only.
 
-Texts and benchmark items become templates: numbers, units after numbers and names (capitalised words within a
+Texts and benchmark items become templates: numbers, units after numbers and names (capitalised words of any script within a
 sentence) turn into typed placeholders, the rest into lower-case words without punctuation. Windows of
 `window` template words, and of the case-folded words themselves, are hashed and joined. A pair counts if
 the document has at least `share` of the item's windows, `run` of them one after another, or windows over `cover` of the
 item's words. If the words themselves reach that, nothing more is asked; if only the template does, names must
 stand for names one to one, and equal numbers or units of the document for equal ones of the item (not the other way round, as two roles may have one
-number), so that re-parameterised copies are caught and loose look-alikes are not. A placeholder is looked up by the matching windows over it, so insertions may move it.
+number), so that re-parameterised copies are caught and loose look-alikes are not. A placeholder is looked up by the matching windows over it, so insertions may move it. Numbers are digits; number words are words.
+
+Texts are read twice and not shuffled while the pairs that may count, ids only, are few enough to be broadcast.
 
 Defined results: a null or empty text matches nothing; an item with fewer words than a window matches where all its
 words follow one another, in any case; items of the same text each match; rows that repeat a document or an item count once; other columns are ignored.
@@ -38,7 +40,7 @@ def words(text: Column) -> Column:
 
 def template(text: Column) -> Column:
     """Template words; as many as words(spaced(text)), each for the word in its place."""
-    named = F.regexp_replace(spaced(text), r"(?<=[a-zß-ÿ0-9,;] )[A-ZÀ-Þ][a-zß-ÿ]+", "<name>")
+    named = F.regexp_replace(spaced(text), r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+", "<name>")
     unit = F.regexp_replace(named, rf"(?i)(?<=[0-9] )(?:{UNITS})\b", "<unit>")
     return words(F.lower(F.regexp_replace(unit, rf"[0-9]+(?:{POINT}[0-9]+)*", "<num>")))
 
@@ -100,11 +102,11 @@ def contaminated(docs: DataFrame, items: DataFrame, window: int = 6, share: floa
     totals = lines.groupBy("item_id").agg(*(F.count_distinct(F.when(F.col("kind") == k, F.col("hash"))).alias(f"all_{k}") for k in "tv")).join(asked.groupBy("item_id").agg(F.min("n_words").alias("n_words")), "item_id")
     # so many windows at least in any pair that one of the rules below accepts
     fewest = F.least(F.lit(float(run)), *(F.lit(share) * F.when(F.col(f"all_{k}") > 0, F.col(f"all_{k}")) for k in "tv"), F.lit(cover / window) * F.col("n_words"))
-    pairs = hits.join(small(totals), "item_id").where(F.col("hits") >= fewest)
+    pairs = written(hits.join(small(totals), "item_id").where(F.col("hits") >= fewest), "pairs")
 
     # where the item's windows lie in the document: places by shift
     pair = [*KEY, "item_id"]
-    full = with_windows(rows.join(pairs, KEY), window)
+    full = with_windows(rows.join(beside(pairs), KEY), window)
     at = None
     for kind, column in (("t", F.col("windows")), ("v", F.col("verbatim")), *(("v", windows_of("plain", n)) for n in brief)):
         opened = full.select(*pair, F.lit(kind).alias("kind"), F.posexplode_outer(column).alias("at", "hash"))
