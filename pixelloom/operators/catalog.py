@@ -152,6 +152,33 @@ def kron(pixels: DataFrame, segments: DataFrame, scale: float = 2.5, least: floa
     return radii.select(*KEYS, "kron_radius").join(flux, KEYS, "left").select(*KEYS, "kron_radius", F.col("flux").alias("kron_flux"), F.col("flux_err").alias("kron_flux_err"))
 
 
+def on_bands(table: DataFrame, bands: DataFrame) -> DataFrame:
+    """What a table says of detection images, for each band's image (bands: image_id, detection)."""
+    names = bands.select("image_id", F.col("detection").alias("_of"))
+    return table.withColumnRenamed("image_id", "_of").join(names, "_of").select(*table.columns)
+
+
+def by_detection(pixels: DataFrame, segments: DataFrame, bands: DataFrame, scale: float = 2.5, least: float = 1.4, least_circle: float = 0.0, radius: float = 3.0, neighbours: str = "correct") -> DataFrame:
+    """Each label of a detection image measured on all its bands by the detection's geometry: (KEYS, x_centroid, y_centroid, kron_radius, segment_flux, segment_flux_err, kron_flux, kron_flux_err, circle_flux, circle_flux_err).
+
+    bands: (image_id, detection), the detection image that each image's labels, centroids, Kron ellipses and circles come from; it may be its own. Labels,
+    shapes and radii are made once a detection image; a band's pixels meet each aperture in one join, whatever the number of bands. A band without
+    pixels under a label has null fluxes there; images that bands doesn't name are left out.
+    """
+    there = bands.select(F.col("detection").alias("image_id")).distinct()
+    source, shape = pixels.join(there, "image_id", "left_semi"), segments.join(there, "image_id", "left_semi")
+    radii = segmentation.kept(kron_radii(source, shape, scale, least, least_circle, neighbours=neighbours), "kron")
+    own, mapped = on_bands(shape, bands), segmentation.kept(on_bands(radii, bands), "bands")
+    sums = pixels.join(own, ["image_id", "y", "x"]).groupBy(*KEYS).agg(F.sum("value").alias("segment_flux"), F.sqrt(F.sum(F.col("error") * F.col("error"))).alias("segment_flux_err"))
+    ellipses = kron_ellipses(mapped, scale, least_circle)
+    circles = mapped.select(*KEYS, "x_centroid", "y_centroid", F.lit(float(radius)).alias("a"), F.lit(float(radius)).alias("b"), F.lit(0.0).alias("theta"))
+    out = mapped.select(*KEYS, "x_centroid", "y_centroid", "kron_radius").join(sums, KEYS, "left")
+    for table, name in ((ellipses, "kron"), (circles, "circle")):
+        flux = elliptical_photometry(pixels, own, table, neighbours)
+        out = out.join(flux.select(*KEYS, F.col("flux").alias(f"{name}_flux"), F.col("flux_err").alias(f"{name}_flux_err")), KEYS, "left")
+    return out
+
+
 def flux_radius(pixels: DataFrame, segments: DataFrame, share: float = 0.5, scale: float = 2.5, neighbours: str = "correct") -> DataFrame:
     """(image_id, label, flux_radius): the radius of the exact circle around the centroid that holds that share of the Kron flux, between 0.1 and the Kron ellipse's semimajor axis; where the flux falls again the outer bound is drawn in by tenths, and without a solution the radius is null. A label's pixels meet in one call, as they are few."""
     if not 0 < share <= 1:

@@ -1,7 +1,7 @@
 """Isophotes of all semimajor axes and images at once: a round samples every ellipse by one join, solves each one's harmonics, and moves its geometry.
 
-Geometry rows: image_id, sma, x0, y0, eps, pa (radians). A sample is bilinear between four pixels ("bilinear") or the pixel that holds the point
-("nearest"); `clip` rounds drop samples beyond 3 deviations. The corrections are Jedrzejewski's (1987). An ellipse's samples are some hundreds
+Geometry rows: image_id, sma, x0, y0, eps, pa (radians). A sample is bilinear between four pixels ("bilinear"), the pixel that holds the point
+("nearest"), or the mean or median of the pixels in the sector around it ("mean", "median"); `clip` rounds drop samples beyond 3 deviations. The corrections are Jedrzejewski's (1987). An ellipse's samples are some hundreds
 of rows, so its harmonics are solved in one call; no task sees an image.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.tables import kept
@@ -52,7 +52,15 @@ def starts(images: DataFrame, semimajor: list[float], x0: float, y0: float, eps:
 
 
 def samples(pixels: DataFrame, geometry: DataFrame, step: float = 0.1, mode: str = "bilinear") -> DataFrame:
-    """(image_id, sma, outer, phi, value): brightness at even angles of each ellipse and of one larger by `step`, for the gradient. Points without all their pixels, masked or non-finite ones are left out."""
+    """(image_id, sma, outer, phi, value): brightness at even angles of each ellipse and of one larger by `step`, for the gradient. Points without all their pixels, masked or non-finite ones are left out. Sectors of fewer than SECTOR pixels take the bilinear value."""
+    if mode in ("mean", "median"):
+        inner = geometry.select("image_id", "sma", *GEOMETRY, F.lit(False).alias("outer"), F.col("sma").alias("axis"))
+        both = inner.unionByName(inner.withColumns({"outer": F.lit(True), "axis": F.col("sma") * (1 + step)}))
+        found = sectors(pixels, both, step, mode).where(F.col("n") >= SECTOR).select("image_id", "sma", "outer", "k", F.col("value").alias("whole"))
+        n = F.greatest(F.lit(24), F.ceil(2 * np.pi * F.col("sma")))
+        point = samples(pixels, geometry, step).withColumn("k", F.round(F.col("phi") * n / (2 * np.pi)).cast("int"))
+        met = point.join(found, ["image_id", "sma", "outer", "k"], "full")
+        return met.select("image_id", "sma", "outer", F.coalesce("phi", 2 * np.pi * F.col("k") / n).alias("phi"), F.coalesce("whole", "value").alias("value"))
     n = F.greatest(F.lit(24), F.ceil(2 * np.pi * F.col("sma"))).cast("int")
     rows = geometry.select("image_id", "sma", *GEOMETRY, n.alias("n"), F.explode(F.array(F.lit(False), F.lit(True))).alias("outer"))
     rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("phi", 2 * np.pi * F.col("k") / F.col("n"))
@@ -69,6 +77,49 @@ def samples(pixels: DataFrame, geometry: DataFrame, step: float = 0.1, mode: str
     return met.groupBy("image_id", "sma", "outer", "phi").agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.sum("w").alias("w")).where("w > 0.999999").drop("w")
 
 
+#: So many pixels make a sector.
+SECTOR = 4
+
+
+def turn_bounds(low: Column, high: Column) -> tuple[Column, Column]:
+    """Least and largest cosine of the angles from low to high."""
+    holds = lambda at: F.floor((high - at) / (2 * np.pi)) > F.floor((low - at) / (2 * np.pi)) - F.when(F.pmod(low - at, F.lit(2 * np.pi)) == 0, 1).otherwise(0)
+    least = F.when(holds(np.pi), -1.0).otherwise(F.least(F.cos(low), F.cos(high)))
+    return least, F.when(holds(0.0), 1.0).otherwise(F.greatest(F.cos(low), F.cos(high)))
+
+
+def sectors(pixels: DataFrame, geometry: DataFrame, step: float = 0.1, how: str = "mean") -> DataFrame:
+    """(image_id, sma, outer, k, n, value): the number and the mean or median of the good pixels in each sector of the ellipses (image_id, sma, outer, axis, GEOMETRY).
+
+    There are as many sectors as samples() has angles for sma; sector k lies within half of one of angle k, and between axis times 1 - step / 2 and 1 + step / 2.
+    A sector is opened to the pixels of its bounding box, from the bounds of its angle and radius, and these meet the image by place; so no
+    ellipse is opened to the box around all of it.
+    """
+    n = F.greatest(F.lit(24), F.ceil(2 * np.pi * F.col("sma"))).cast("int")
+    rows = geometry.select("image_id", "sma", "outer", "axis", *GEOMETRY, n.alias("of")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    width = 2 * np.pi / F.col("of")
+    rows = rows.withColumns({"from": (F.col("k") - 0.5) * width, "to": (F.col("k") + 0.5) * width})
+    ends = [radius_at(F.col(c), F.lit(1.0), F.col("eps")) for c in ("from", "to")]
+    # the radius is largest on the major axis and least on the minor one, between them it goes one way
+    along, across = (turn_bounds(2 * F.col("from") - at, 2 * F.col("to") - at)[1] == 1.0 for at in (0.0, np.pi))
+    near = F.col("axis") * (1 - step / 2) * F.when(across, 1 - F.col("eps")).otherwise(F.least(*ends))
+    far = F.col("axis") * (1 + step / 2) * F.when(along, 1.0).otherwise(F.greatest(*ends))
+    rows = rows.withColumns({"near": near, "far": far})
+    for c, turn in (("x", 0.0), ("y", np.pi / 2)):
+        least, most = turn_bounds(F.col("from") + F.col("pa") - turn, F.col("to") + F.col("pa") - turn)
+        low = F.col(f"{c}0") + F.least(least * F.col("near"), least * F.col("far"))
+        high = F.col(f"{c}0") + F.greatest(most * F.col("near"), most * F.col("far"))
+        rows = rows.withColumn(f"{c}_cells", F.sequence(F.floor(low).cast("int"), F.ceil(high).cast("int")))
+    cells = rows.withColumn("x", F.explode("x_cells")).withColumn("y", F.explode("y_cells")).drop("x_cells", "y_cells")
+    r, phi = to_polar(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("pa"))
+    ring = elliptical_radius(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("eps"), F.col("pa"))
+    own = F.pmod(F.floor(phi * F.col("of") / (2 * np.pi) + 0.5), F.col("of")) == F.col("k")
+    inside = cells.where(own & (ring >= F.col("axis") * (1 - step / 2)) & (ring < F.col("axis") * (1 + step / 2)) & (r > 0))
+    light = pixels.where(~F.coalesce("mask", F.lit(False)) & F.col("value").isNotNull() & ~F.isnan("value")).select("image_id", "y", "x", "value")
+    met = inside.select("image_id", "sma", "outer", "k", "y", "x").join(light, ["image_id", "y", "x"])
+    return met.groupBy("image_id", "sma", "outer", "k").agg(F.count("*").alias("n"), (F.median("value") if how == "median" else F.avg("value")).alias("value"))
+
+
 def solved(phi: np.ndarray, value: np.ndarray, orders: tuple[int, ...], clip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, sine and cosine amplitudes of the orders, their errors, and which samples were used."""
     used = np.isfinite(value)
@@ -194,3 +245,46 @@ def model_image(pixels: DataFrame, isophotes: DataFrame, fill: float = 0.0) -> D
     between = (F.col("low.v") * b + F.col("high.v") * a) / (a + b)
     model = F.when(F.col("high").isNull(), F.lit(fill)).when(F.col("low").isNull(), F.col("high.v")).when(a + b > 0, between).otherwise(F.col("low.v"))
     return rows.select("image_id", "y", "x", "value", F.coalesce(model, F.lit(fill)).alias("model"))
+
+
+def finely(isophotes: DataFrame, density: float = 2.0) -> DataFrame:
+    """(image_id, sma, GEOMETRY, intensity, p3, q3, p4, q4): ellipses between each two of an image, `density` of them a pixel; p and q are the sine and cosine amplitudes of brightness.
+
+    Geometry and amplitudes go along straight lines in axis, turns the shorter way round, brightness along a straight line of its logarithm where it is
+    positive. Within the innermost ellipse its shape stays, without harmonics at the centre.
+    """
+    size = F.col("sma") * F.abs("gradient")
+    have = [n if n in isophotes.columns else None for n in ("a3", "b3", "a4", "b4")]
+    amplitude = [(F.coalesce(F.col(c) * size, F.lit(0.0)) if c and "gradient" in isophotes.columns else F.lit(0.0)).alias(n) for c, n in zip(have, ("p3", "q3", "p4", "q4"), strict=True)]
+    known = isophotes.where("intensity is not null").select("image_id", "sma", *GEOMETRY, "intensity", *amplitude)
+    least = known.groupBy("image_id").agg(F.min_by(F.struct(*known.columns), "sma").alias("e")).where("e.sma > 0").select("image_id", F.lit(0.0).alias("sma"), *(f"e.{c}" for c in (*GEOMETRY, "intensity")), *(F.lit(0.0).alias(c) for c in ("p3", "q3", "p4", "q4")))
+    own = [c for c in known.columns if c != "image_id"]
+    image = Window.partitionBy("image_id").orderBy("sma")  # some dozens of ellipses an image
+    pairs = known.unionByName(least).withColumn("next", F.lead(F.struct(*own)).over(image)).where("next is not null")
+    steps = F.greatest(F.ceil((F.col("next.sma") - F.col("sma")) * density), F.lit(1)).cast("int")
+    rows = pairs.withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("steps") - 1))).withColumn("t", F.col("step") / F.col("steps"))
+    line = lambda c, to: F.col(c) + F.col("t") * (to - F.col(c))
+    new = {c: line(c, F.col(f"next.{c}")) for c in own}
+    new["pa"] = F.col("pa") + F.col("t") * (F.pmod(F.col("next.pa") - F.col("pa") + np.pi / 2, F.lit(np.pi)) - np.pi / 2)
+    positive = (F.col("intensity") > 0) & (F.col("next.intensity") > 0)
+    new["intensity"] = F.when(positive, F.col("intensity") * F.pow(F.col("next.intensity") / F.when(positive, F.col("intensity")), F.col("t"))).otherwise(new["intensity"])
+    last = known.groupBy("image_id").agg(F.max_by(F.struct(*known.columns), "sma").alias("e")).select("e.*")
+    return rows.select("image_id", *(v.alias(c) for c, v in new.items())).unionByName(last)
+
+
+def harmonic_image(pixels: DataFrame, isophotes: DataFrame, fill: float = 0.0, density: float = 2.0) -> DataFrame:
+    """(image_id, y, x, value, model): the light of all ellipses with their third and fourth harmonics (a3 to b4 and gradient, as fit() gives them), scattered to pixels.
+
+    Each ellipse throws its brightness at angles `density` a pixel apart onto the four pixels around, by bilinear weights; a pixel takes the weighted mean, `fill`
+    where no light falls. What is thrown adds up by pixel before it is shuffled; no task sees an image.
+    """
+    n = F.ceil(2 * np.pi * F.greatest(F.col("sma"), F.lit(1.0)) * density).cast("int")
+    rows = finely(isophotes, density).withColumn("of", n).withColumn("phi", F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: 2 * np.pi * k / F.col("of"))))
+    phi, r = F.col("phi"), radius_at(F.col("phi"), F.col("sma"), F.col("eps"))
+    light = F.col("intensity") + F.col("p3") * F.sin(3 * phi) + F.col("q3") * F.cos(3 * phi) + F.col("p4") * F.sin(4 * phi) + F.col("q4") * F.cos(4 * phi)
+    at = rows.select("image_id", light.alias("light"), (F.col("x0") + r * F.cos(phi + F.col("pa"))).alias("px"), (F.col("y0") + r * F.sin(phi + F.col("pa"))).alias("py"))
+    corner = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (0, 1) for i in (0, 1)]))
+    at = at.withColumn("c", corner).withColumns({"x": (F.floor("px") + F.col("c.i")).cast("int"), "y": (F.floor("py") + F.col("c.j")).cast("int")})
+    at = at.withColumn("w", (1 - F.abs(F.col("x") - F.col("px"))) * (1 - F.abs(F.col("y") - F.col("py")))).where("w > 0")
+    thrown = at.groupBy("image_id", "y", "x").agg((F.sum(F.col("w") * F.col("light")) / F.sum("w")).alias("model"))
+    return pixels.select("image_id", "y", "x", "value").join(thrown, ["image_id", "y", "x"], "left").withColumn("model", F.coalesce("model", F.lit(float(fill))))

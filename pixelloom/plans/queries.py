@@ -557,6 +557,28 @@ def catalog_kron_radius(spark, sf_dir):
     return rounded(catalog.kron_radii(*tiled(spark, sf_dir), scale=1.5, least=1.0, reach=2.0, neighbours="mask").select("image_id", "label", "kron_radius"), 5)
 
 
+FLAGGED = f"{img_sql(64, 64, 'l_returnflag')}, det as (select * from img where image_id = 'A'), segments as (select y, x, (1 + (y // 16) * 4 + x // 16)::int * 2 as label from det where value > (select avg(value) from det))"
+
+
+@query(f"""with {FLAGGED}, rows as (select 'A' as image_id, s.label, d.value, d.y, d.x from segments s join det d using (y, x)), {shape_sql('rows', 'image_id, label')},
+r as (select s.label, i.value, sqrt(greatest(ellipse_cxx * (i.x - x_centroid) ** 2 + ellipse_cyy * (i.y - y_centroid) ** 2 + ellipse_cxy * (i.x - x_centroid) * (i.y - y_centroid), 0)) as r
+  from shapes s join det i on abs(i.x - floor(x_centroid + 0.5)) <= ceil(6 * semimajor_axis) + 1 and abs(i.y - floor(y_centroid + 0.5)) <= ceil(6 * semimajor_axis) + 1 and not i.mask left join segments g on g.y = i.y and g.x = i.x where g.label is null or g.label = s.label),
+kr as (select label, sum(r * value) / sum(value) as raw from r where r < 6 group by 1),
+sums as (select i.image_id, s.label, sum(i.value) as segment_flux, sqrt(sum(i.error * i.error)) as segment_flux_err from img i join segments s using (y, x) group by 1, 2),
+circle as (select i.image_id, i.label, sum(w * i.value) as circle_flux, sqrt(sum(w * w * i.error * i.error)) as circle_flux_err from (select i.*, s.label, {disc_sql('i.x - s.x_centroid', 'i.y - s.y_centroid', '3.0::double')} as w
+    from shapes s join img i on abs(i.x - s.x_centroid) < 5 and abs(i.y - s.y_centroid) < 5 and not i.mask) i left join segments g on g.y = i.y and g.x = i.x where (g.label is null or g.label = i.label) and w > 1e-15 group by 1, 2)
+select image_id, label, round(s.x_centroid, 4) as x_centroid, round(s.y_centroid, 4) as y_centroid, round(case when raw > 0 and raw <= 6 then greatest(raw, 1.4) end, 4) as kron_radius, round(segment_flux, 4) as segment_flux, round(segment_flux_err, 4) as segment_flux_err, round(circle_flux, 4) as circle_flux, round(circle_flux_err, 4) as circle_flux_err
+from sums join (select label, x_centroid, y_centroid from shapes) s using (label) join kr using (label) join circle using (image_id, label)""")
+def catalog_by_detection(spark, sf_dir):
+    """All return flags' images measured by the labels of image A."""
+    pixels = image(spark, sf_dir, 64, 64, "l_returnflag")
+    found = pixels.where("image_id = 'A'")
+    mean = found.agg(F.avg("value")).first()[0]
+    labels = found.where(F.col("value") > mean).select("image_id", "y", "x", (2 * (1 + F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16))).cast("int").alias("label"))
+    bands = pixels.select("image_id").distinct().withColumn("detection", F.lit("A"))
+    return rounded(catalog.by_detection(pixels, labels, bands, neighbours="mask").drop("kron_flux", "kron_flux_err"))
+
+
 @query()
 def catalog_kron(spark, sf_dir):
     return rounded(catalog.kron(*tiled(spark, sf_dir)), 4)
@@ -758,6 +780,35 @@ def ellipse_samples_nearest(spark, sf_dir):
     return rounded(found.groupBy("image_id", "sma").agg(F.count("*").alias("n"), F.avg("value").alias("intensity"), term(F.sin).alias("s1"), term(F.cos).alias("c1")))
 
 
+def sectors_sql(how: str) -> str:
+    return f"""with {IMG}, g as (select sma, 15.3 as x0, 16.2 as y0, eps, pa, greatest(24, ceil(2 * pi() * sma))::int as n from {RINGS}),
+p as (select g.*, i.value, atan2(i.y - y0, i.x - x0) - pa as turn, sqrt(((i.x - x0) * cos(pa) + (i.y - y0) * sin(pa)) ** 2 + (((i.y - y0) * cos(pa) - (i.x - x0) * sin(pa)) / (1 - eps)) ** 2) as e from g, img i where not mask)
+select 'all' as image_id, sma, (floor((turn - 2 * pi() * floor(turn / (2 * pi()))) * n / (2 * pi()) + 0.5)::int % n)::int as k, count(*) as n, round({how}(value), 4) as value from p where e >= sma * 0.8 and e < sma * 1.2 group by 2, 3"""
+
+
+def sectors(spark, sf_dir, how: str) -> DataFrame:
+    rows = spark.createDataFrame([("all", 3.0, 3.0, 15.3, 16.2, 0.3, 0.4), ("all", 6.5, 6.5, 15.3, 16.2, 0.5, 1.1), ("all", 9.0, 9.0, 15.3, 16.2, 0.1, -0.6)], "image_id string, sma double, axis double, x0 double, y0 double, eps double, pa double")
+    return rounded(ellipses.sectors(image(spark, sf_dir), rows.withColumn("outer", F.lit(False)), 0.4, how).drop("outer"))
+
+
+@query(sectors_sql("avg"))
+def ellipse_sectors_mean(spark, sf_dir):
+    return sectors(spark, sf_dir, "mean")
+
+
+@query(sectors_sql("median"))
+def ellipse_sectors_median(spark, sf_dir):
+    return sectors(spark, sf_dir, "median")
+
+
+@query()
+def isophote_model(spark, sf_dir):
+    """Each return flag's image from the ellipses of its own light, with harmonics."""
+    pixels = image(spark, sf_dir, 32, 32, "l_returnflag")
+    found = ellipses.fit(pixels, ellipses.starts(pixels, [4.0, 8.0, 12.0], 15.5, 15.5), rounds=1, fix=("centre", "eps", "pa"), mode="mean")
+    return rounded(ellipses.harmonic_image(pixels, found), 3)
+
+
 @query()
 def isophotes(spark, sf_dir):
     """Ellipses of three axes fitted to the table's image, whose noise mostly uses the rounds up."""
