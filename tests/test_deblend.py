@@ -113,19 +113,19 @@ def test_equal_to_plain(spark, seed, connectivity, mode, contrast):
 
 def test_one_label_over_many_tiles(spark):
     """A label over the whole image: tiles contract nearly all of it, and the parts are the two peaks' sides."""
-    size = 64
+    size = 40
     y, x = np.mgrid[:size, :size]
-    v = 1 + 100 * np.exp(-((x - 18) ** 2 + (y - 30) ** 2) / 200) + 90 * np.exp(-((x - 47) ** 2 + (y - 33) ** 2) / 200)
+    v = 1 + 100 * np.exp(-((x - 11) ** 2 + (y - 18) ** 2) / 80) + 90 * np.exp(-((x - 29) ** 2 + (y - 21) ** 2) / 80)
     pixels = spark.createDataFrame([("a", int(j), int(i), float(v[j, i])) for j in range(size) for i in range(size)], "image_id string, y int, x int, value double")
     segments = pixels.select("image_id", "y", "x", F.lit(1).alias("label"))
     rows = deblend.lit(pixels, segments)
-    found = deblend.markers(rows, 5, 16, "exponential", 8)
+    found = deblend.markers(rows, 5, 8, "exponential", 8)
     roots = found.select("image_id", "label", deblend.code().alias("node"), "seed")
     first = deblend.renamed(deblend.edges_of(rows, 8).select("image_id", "label", F.col("u").alias("a"), F.col("v").alias("b"), F.lit(False).alias("ra"), F.lit(False).alias("rb"), "u", "v", "lo", "hi"), roots.select("image_id", "label", "node", F.col("seed").alias("comp"), F.lit(True).alias("rooted")))
-    assert first.count() > 10_000
-    split = deblend.deblend(pixels, segments, 5, 16, side=8)
+    assert first.count() > 4_000
+    split = deblend.deblend(pixels, segments, 5, 8, side=8)
     assert split.count() == size * size and sorted(r.label for r in split.select("label").distinct().collect()) == [1, 2]
-    assert split.where("x < 25").select("label").distinct().count() == split.where("x > 40").select("label").distinct().count() == 1
+    assert split.where("x < 16").select("label").distinct().count() == split.where("x > 24").select("label").distinct().count() == 1
 
 
 def test_odd_values(spark):
