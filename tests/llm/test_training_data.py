@@ -416,4 +416,4 @@ def test_signature_estimates_similarity():
 
 
 def test_queries_named():
-    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert {int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op")} == set(range(1, 14)) and "pipeline" in entry.queries()
