@@ -115,7 +115,7 @@ def test_one_label_over_many_tiles(spark):
     """A label over the whole image: tiles contract nearly all of it, and the parts are the two peaks' sides."""
     size = 40
     y, x = np.mgrid[:size, :size]
-    v = 1 + 100 * np.exp(-((x - 11) ** 2 + (y - 18) ** 2) / 80) + 90 * np.exp(-((x - 29) ** 2 + (y - 21) ** 2) / 80)
+    v = 1 + 100 * np.exp(-((x - 8) ** 2 + (y - 18) ** 2) / 80) + 90 * np.exp(-((x - 32) ** 2 + (y - 21) ** 2) / 80)
     pixels = spark.createDataFrame([("a", int(j), int(i), float(v[j, i])) for j in range(size) for i in range(size)], "image_id string, y int, x int, value double")
     segments = pixels.select("image_id", "y", "x", F.lit(1).alias("label"))
     rows = deblend.lit(pixels, segments)
