@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows of docs; run() writes what a stage returns as Parquet to
 the shared folder and reads it again for the next one. All stages but the last keep the columns of documents.
 
-- language: drops documents without a language (no letter) and those no learned language explains better than even.
+- language: drops documents without a language (no letter) and those whose likeliest language scores below 0.4.
 - near_duplicates: of each class of near-duplicates keeps the document with the smallest doc_id.
 - decontamination: drops documents that contain a benchmark item.
 - secrets: replaces secrets in the texts by their kind.
