@@ -14,19 +14,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pixelloom.llm import decontam, langid, minhash, packing, secrets
-from pixelloom.llm.common import fresh, table, written
+from pixelloom.llm.common import table, written
 
 #: No SQL: the stages' models, signatures and tokenizers have none. Tests hold each stage against what its operator's own rows say, and the operators against brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    lang, score = fresh(docs, "_lang", "_score")
-    kept = langid.identify(docs, keep=docs.columns, extra=(lang, score))
-    return kept.where((F.col(lang) != "und") & (F.col(score) >= 0.4)).select(*docs.columns)
+    return langid.with_language(docs, least=0.4)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pixelloom.llm.common import batches_of, code_points, crc_of, segment_sums, strings
+from pixelloom.llm.common import KEY, batches_of, code_points, crc_of, joined_by_key, keyed, segment_sums, strings, written
 
 ORDERS = (1, 2, 3)
+#: Bytes of text that a task works on at once; its arrays take some 60 times as many.
+PIECE = 1 << 18
 
 
 def hashed_ngrams(points: np.ndarray, starts: np.ndarray, bits: int):
@@ -50,7 +52,7 @@ def train(docs: DataFrame, label: str = "lang", fold=None, bits: int = 15, max_t
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20)) < F.try_element_at(share, F.col(label)) * (1 << 20))
 
     def count(batches):
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, PIECE):
             points, starts = code_points(strings(batch))
             which = pc.index_in(batch.column(1), pa.array(names)).to_numpy(zero_copy_only=False).astype(np.int64)
             lang = np.repeat(which, np.diff(starts))
@@ -73,7 +75,7 @@ def predict(docs: DataFrame, names: list[str], matrix: np.ndarray, keep: list[st
 
     def score(batches):
         logs = model.value
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, PIECE):
             texts = strings(batch)
             points, starts = code_points(texts)
             sums = np.zeros((len(texts), len(names)))
@@ -97,3 +99,15 @@ def identify(docs: DataFrame, keep: list[str] | None = None, extra: tuple[str, s
     names, matrix = train(docs, fold=fold & F.col("doc_id").isNotNull(), **options)
     scored = predict(docs, names, matrix, keep or ["doc_id"], extra)
     return scored.withColumn("held_out", ~fold) if "held_out" not in scored.columns else scored
+
+
+def with_language(docs: DataFrame, least: float = 0.4, **options) -> DataFrame:
+    """docs without the rows that have no language (`und`) or whose likeliest one scores below `least`; all columns stay.
+
+    Texts go to Python but don't come back: what returns are the keys of rows to leave out, written and joined with docs. Rows of equal text have equal scores, so a key stands for all of them.
+    """
+    fold = F.pmod(crc_of(), F.lit(3)) != 1
+    names, matrix = train(docs, fold=fold & F.col("doc_id").isNotNull(), **options)
+    scored = predict(keyed(docs), names, matrix, KEY)
+    gone = written(scored.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(*KEY).distinct(), "no_language")
+    return joined_by_key(docs, gone, "left_anti")[0].select(*docs.columns)

@@ -36,6 +36,8 @@ from pixelloom.llm.components import components
 WORDS = 5
 #: Bits of a shingle's hash; the rest of 64 hold a text's place in its batch.
 BITS = 50
+#: Bytes of text that a task works on at once; its arrays take some 60 times as many.
+PIECE = 1 << 18
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     registers = bands * rows
 
     def run(batches):
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, PIECE):
             place, element, a, b = shingles(strings(batch))
             held = signatures(place, element, np.ones(len(place)), batch.num_rows, registers) & np.uint64(0xFFFFFFFF)
             keys = np.zeros((batch.num_rows, bands), np.uint64) + mixed(np.arange(bands).astype(np.uint64) + np.uint64(7))
@@ -107,7 +109,7 @@ def item_sets(docs: DataFrame, used: DataFrame) -> DataFrame:
     """(doc, items): the shingle sets, as hashes of BITS bits, of the documents in used (doc_id); a set for each text of a document."""
 
     def sets(batches):
-        for batch in batches_of(batches):
+        for batch in batches_of(batches, PIECE):
             place, element, *_ = shingles(strings(batch))
             bounds = np.searchsorted(place, np.arange(batch.num_rows + 1))
             data = [element[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
