@@ -15,6 +15,7 @@ from pixelloom.functions import boxes
 from pixelloom.functions.models import Model
 from pixelloom.functions.wcs import Tan
 from pixelloom.operators import aperture, background, catalog, centroids, deblend, detection, ellipses, epsf, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
+from pixelloom.sources import psf_grids
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
 
@@ -521,6 +522,45 @@ def epsf_build(spark, sf_dir):
     return rounded(epsf.as_table(spark, grid, 2), 6)
 
 
+GRID_LINES = (1, 401, 800, 801, 1201, 1600)
+
+
+def written_grids(spark, sf_dir) -> DataFrame:
+    """Grids of four detectors written as a file for each return flag, planes by part, samples by supplier and order, and read from there."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    keys = [F.concat(F.lit("GRID_"), "l_returnflag", F.lit("_ALL.fits")).alias("file"), (F.col("l_partkey") % 36).cast("int").alias("plane"), (F.col("l_suppkey") % 5).cast("int").alias("y"), (F.col("l_orderkey") % 5).cast("int").alias("x")]
+    cells = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(*keys).agg((F.sum(cents) / 131072.0).alias("value"))
+    lines = {f"{key}{k + 1:02d}": v for key in ("IPSFX", "JPSFY") for k, v in enumerate(GRID_LINES)}
+    return psf_grids.read_grids(spark, psf_grids.write_cubes(cells, {"NXPSFS": 6, "NYPSFS": 6} | lines, (36, 5, 5)))
+
+
+GRID_SQL = """cells as (select l_returnflag as instrument, l_partkey % 36 as node, l_suppkey % 5 as j, l_orderkey % 5 as i, sum(cast(round(l_extendedprice * 100) as bigint)) / 131072.0 as value from lineitem group by 1, 2, 3, 4),
+grids as (
+  select f.instrument, p.node::int as node, case (p.node // 18) * 2 + (p.node % 6) // 3 when 0 then 3 when 1 then 4 when 2 then 2 else 1 end as detector,
+    case p.node % 3 when 0 then 0 when 1 then 400 else 799 end::double as gx, case p.node // 6 % 3 when 0 then 0 when 1 then 400 else 799 end::double as gy, a.j::int as j, b.i::int as i, coalesce(c.value, 0) as value
+  from (select distinct l_returnflag as instrument from lineitem) f cross join (select unnest(range(36)) as node) p cross join (select unnest(range(5)) as j) a cross join (select unnest(range(5)) as i) b
+  left join cells c on c.instrument = f.instrument and c.node = p.node and c.j = a.j and c.i = b.i)"""
+
+
+@query(f"with {GRID_SQL} select instrument, detector, node, gx, gy, j, i, round(value, 4) as value from grids")
+def psf_grid_nodes(spark, sf_dir):
+    return rounded(written_grids(spark, sf_dir).select("instrument", "detector", "node", "gx", "gy", "j", "i", "value"))
+
+
+@query(f"""with {GRID_SQL},
+p as (select p_partkey as id, p_size % 4 + 1 as detector, least(greatest(p_partkey * 7.3::double % 830 - 15, 0), 799) as x, least(greatest(p_retailprice * 3.1::double % 830 - 15, 0), 799) as y from part),
+n as (select *, case when x < 400 then 0 when x < 799 then 400 else 799 end as x0, case when x < 400 then 400 else 799 end as x1, case when y < 400 then 0 when y < 799 then 400 else 799 end as y0, case when y < 400 then 400 else 799 end as y1 from p),
+t as (select *, case when x1 > x0 then (x - x0) / (x1 - x0) else 0 end as tx, case when y1 > y0 then (y - y0) / (y1 - y0) else 0 end as ty from n),
+w as (select id, detector, x0 as gx, y0 as gy, (1 - tx) * (1 - ty) as w from t union all select id, detector, x1, y0, tx * (1 - ty) from t union all select id, detector, x0, y1, (1 - tx) * ty from t union all select id, detector, x1, y1, tx * ty from t)
+select instrument, detector, id, j, i, round(sum(w * value), 3) as value from w join grids using (detector, gx, gy) where w > 0 group by 1, 2, 3, 4, 5""")
+def psf_grid_shapes(spark, sf_dir):
+    """The shape at a place for each part, between the nodes of its detector's grids."""
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    at = parts.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 4 + 1).cast("int").alias("detector"), (F.col("p_partkey") * 7.3 % 830 - 15).alias("x"), (F.col("p_retailprice") * 3.1 % 830 - 15).alias("y"))
+    found = psf_grids.evaluate(written_grids(spark, sf_dir), at)
+    return rounded(found.select(F.regexp_extract("path", r"GRID_(\w+)_ALL", 1).alias("instrument"), "detector", "id", "j", "i", "value"), 3)
+
+
 @query(f"""with {img_sql(64, 64, 'l_returnflag')}, k0 as (select * from img where not mask), """ + ", ".join(f"k{n + 1} as materialized (select c.* from k{n} c join (select image_id, avg(value) as m, stddev_pop(value) as s from k{n} group by 1) b using (image_id) where abs(value - m) <= 3 * s)" for n in range(10)) + " select image_id, round(avg(value) + 2 * stddev_pop(value), 5) as threshold from k10 group by 1")
 def detect_threshold(spark, sf_dir):
     return rounded(segmentation.threshold(image(spark, sf_dir, 64, 64, "l_returnflag"), 2.0), 5)
