@@ -1,15 +1,12 @@
-"""FITS images as pixels: files are read by Spark's binary source and decoded in Arrow batches, so any path works that Spark reads."""
+"""FITS images as pixels, read by ranges (see units), and files of one image."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import prod
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 BLOCK, CARD = 2880, 80
+NAME = "element_at(split(path, '/'), -1) as image_id"
 #: NumPy types by BITPIX.
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 
@@ -34,47 +31,18 @@ def header(data: bytes, at: int = 0) -> tuple[dict, int]:
     raise ValueError("a FITS header without END")
 
 
-def planes(data: bytes) -> Iterator[tuple[int, dict, np.ndarray]]:
-    """Number, cards and array of each image unit of a file; units without data are passed over."""
-    at, number = 0, 0
-    while at < len(data):
-        cards, at = header(data, at)
-        axes = [int(cards[f"NAXIS{k}"]) for k in range(int(cards.get("NAXIS", 0)), 0, -1)]
-        kind = np.dtype(TYPES[int(cards["BITPIX"])])
-        size = prod(axes) * kind.itemsize if axes else 0
-        if axes and (number == 0 or cards.get("XTENSION", "IMAGE") == "IMAGE"):
-            yield number, cards, np.frombuffer(data, kind, prod(axes), at).reshape(axes) * float(cards.get("BSCALE", 1)) + float(cards.get("BZERO", 0))
-        at += -(-(size + int(cards.get("PCOUNT", 0))) // BLOCK) * BLOCK
-        number += 1
-
-
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, unit, y, x, value) of all two-dimensional units under a path; image_id is the file's name."""
+    from pixelloom.sources.units import pixels, units
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files.path, files.content, strict=True):
-                for number, _, plane in planes(content):
-                    if plane.ndim != 2:
-                        continue
-                    for y0 in range(0, plane.shape[0], 256):  # rows in pieces, so that a batch stays small
-                        part = plane[y0 : y0 + 256]
-                        y, x = np.mgrid[y0 : y0 + part.shape[0], : part.shape[1]]
-                        yield pd.DataFrame({"image_id": name.rsplit("/", 1)[-1], "unit": number, "y": y.ravel(), "x": x.ravel(), "value": part.ravel().astype(float)})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "image_id string, unit int, y int, x int, value double")
+    return pixels(units(spark, path).where("size(axes) = 2")).selectExpr(NAME, "unit", "y", "x", "value")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """(image_id, unit, cards) of all units under a path."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for name, content in zip(files.path, files.content, strict=True):
-                rows = [(name.rsplit("/", 1)[-1], n, {k: str(v) for k, v in cards.items()}) for n, cards, _ in planes(content)]
-                yield pd.DataFrame(rows, columns=["image_id", "unit", "cards"])
+    """(image_id, unit, cards) of all image units with data under a path."""
+    from pixelloom.sources.units import IMAGE, units
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "image_id string, unit int, cards map<string,string>")
+    return units(spark, path).where(IMAGE).selectExpr(NAME, "unit", "cards")
 
 
 def to_fits(plane: np.ndarray, cards: dict | None = None) -> bytes:

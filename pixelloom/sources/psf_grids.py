@@ -137,8 +137,9 @@ def write_cubes(cells: DataFrame, cards: dict, shape: tuple[int, int, int], name
         body = cube.tobytes()
         file = str(rows.file.iloc[0])
         system, there = located(f"{folder}/{file}")
-        system.create_dir(there.rsplit("/", 1)[0], recursive=True)
-        part = f"{there}.{np.random.default_rng().integers(1 << 62)}.part"
+        parent = there.rsplit("/", 1)[0]
+        system.create_dir(parent, recursive=True)
+        part = f"{parent}/.{file}.{np.random.default_rng().integers(1 << 62)}"  # Spark doesn't list names that begin with a dot
         with system.open_output_stream(part) as out:
             out.write(head + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0"))
         system.move(part, there)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pixelloom.sources.fits import BLOCK, TYPES, header
 
 UNITS = "path string, unit int, cards map<string,string>, at long, axes array<long>, bitpix int"
+#: Units with pixels.
+IMAGE = "(unit = 0 or coalesce(cards['XTENSION'], 'IMAGE') = 'IMAGE') and size(axes) > 0 and not exists(axes, a -> a = 0)"
 #: Values of a piece that leave a task at once.
 EMITTED = 1 << 16
 
@@ -83,7 +85,7 @@ def units(spark: SparkSession, path: str, files_a_task: int = 64) -> DataFrame:
 
 def pixels(found: DataFrame, piece: int = 16 << 20) -> DataFrame:
     """(path, unit, plane, y, x, value) of the image units in `found` (rows of units()), each read by ranges of whole rows of about `piece` bytes."""
-    image = found.where((F.col("unit") == 0) | (F.coalesce(F.col("cards")["XTENSION"], F.lit("IMAGE")) == "IMAGE")).where("size(axes) > 0 and not exists(axes, a -> a = 0)")
+    image = found.where(IMAGE)
     width = F.element_at("axes", -1)
     lines = F.aggregate(F.slice("axes", 1, F.size("axes") - 1), F.lit(1).cast("long"), lambda n, a: n * a)
     each = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(piece) / (width * F.abs("bitpix") / 8)))
