@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pixelloom.functions import boxes
 from pixelloom.functions.models import Model
 from pixelloom.functions.wcs import Tan
-from pixelloom.operators import aperture, background, catalog, centroids, deblend, detection, ellipses, epsf, finders, isophotes as harmonic, masks, photometry, profiles, psf, segmentation, simulate, sky, stats
+from pixelloom.operators import aperture, background, catalog, centroids, deblend, detection, ellipses, epsf, finders, isophotes as harmonic, masks, outlines, photometry, profiles, psf, segmentation, simulate, sky, stats
 from pixelloom.sources import psf_grids
 from pixelloom.sources.images import image, positions, stamps
 from pixelloom.streaming import frames
@@ -494,6 +494,26 @@ def label_perimeter(spark, sf_dir):
     return rounded(segmentation.perimeter(tiled(spark, sf_dir)[1]), 5)
 
 
+def outline_sql(diagonal: int) -> str:
+    """Areas, outline lengths, corners and rings less twice the holes from the numbers of a label's pixels around each corner. diagonal: -2 where pixels that touch by a corner are joined, 2 where not."""
+    return f"""with {MOD}, q as (select image_id, label, y + o.j as vy, x + o.i as vx, count(*) as n, sum(o.bit) as bits from segments, (values (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) o(j, i, bit) group by 1, 2, 3, 4),
+c as (select image_id, label, n, n = 2 and bits in (6, 9) as diagonal from q)
+select image_id, label, sum(n)::double / 4 as area, sum(case when diagonal then 2 when n < 4 then 1 else 0 end)::double as length, sum(case when diagonal then 2 when n in (1, 3) then 1 else 0 end)::bigint as n_corners,
+  ((count(*) filter (n = 1) - count(*) filter (n = 3) + ({diagonal}) * count(*) filter (diagonal)) // 4)::bigint as n_outer_less_holes from c group by 1, 2"""
+
+
+@query(outline_sql(-2))
+def label_polygons(spark, sf_dir):
+    found = outlines.outlines(outlines.polygons(tiled(spark, sf_dir)[1]))
+    return found.select("image_id", "label", "area", "length", "n_corners", (F.col("n_rings") - 2 * F.col("n_holes")).alias("n_outer_less_holes"))
+
+
+@query(outline_sql(2))
+def label_polygons_by_edges(spark, sf_dir):
+    found = outlines.outlines(outlines.polygons(tiled(spark, sf_dir)[1], 4))
+    return found.select("image_id", "label", "area", "length", "n_corners", (F.col("n_rings") - 2 * F.col("n_holes")).alias("n_outer_less_holes"))
+
+
 def part_stars(spark, sf_dir) -> DataFrame:
     """A star for each part, on the image of a supplier."""
     rows = spark.read.parquet(f"{sf_dir}/part.parquet")
