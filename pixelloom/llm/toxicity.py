@@ -54,17 +54,18 @@ def counted(docs: DataFrame) -> DataFrame:
             points, starts = code_points(strings(batch))
             toxic = np.repeat(batch.column(1).to_numpy(), np.diff(starts))
             own = np.repeat(np.arange(len(starts) - 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), np.diff(starts))
-            since, keys = grams(points, starts, TOP)
+            _, keys = grams(points, starts, TOP)
             for n in range(SHARED, TOP + 1):
                 gram = keys[n - 1]
                 inside = np.flatnonzero(gram != 0)
                 inside = inside[np.unique(gram[inside] + own[inside], return_index=True)[1]]
                 found, first, back = np.unique(gram[inside], return_index=True, return_inverse=True)
                 first = inside[first]
-                # the context is the n - 1 signs before the last one; the suffix the last n - 1 signs
+                head = points[first - n + 1]
+                # initial: nothing stands before a blank in its word; the context is the n - 1 signs before the last one; the suffix the last n - 1 signs
                 context = keys[n - 2][first - 1]
                 total, hot = np.bincount(back, minlength=len(found)), np.bincount(back, toxic[inside], len(found)).astype(np.int64)
-                columns = [np.full(len(found), n, np.int32), since[first] == n - 1, found.view(np.int64), context.view(np.int64), keys[n - 2][first].view(np.int64), hot, total - hot]
+                columns = [np.full(len(found), n, np.int32), (head <= 32) | (head == 160), found.view(np.int64), context.view(np.int64), keys[n - 2][first].view(np.int64), hot, total - hot]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["n", "initial", "gram", "context", "suffix", "toxic", "plain"])
 
     found = docs.select("text", "toxic").mapInArrow(run, "n int, initial boolean, gram long, context long, suffix long, toxic long, plain long")
@@ -204,8 +205,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, max_chars: int = 32_000_000, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out (crc32 of the id mod 4 is 2), score and predicted for each row of docs."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, max_chars: int = 32_000_000, threshold: float = 0.3, words: bool = True) -> DataFrame:
+    """doc_id, held_out (crc32 of the id mod 4 is 2), score and predicted for each row of docs. words: False scores by the whole text's length-normalised ratio alone."""
     spark = docs.sparkSession
     fold = F.pmod(crc_of(), F.lit(4))
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(fold != 2)
@@ -217,7 +218,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, m
     sample = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
     sample = written(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "sample")
     sizes_of = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.sum(F.length("text")).alias("n")).collect()}
-    part = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, max_chars / max(1, sizes_of.get(k) or 1))))])
+    parts = {k: min(1.0, max_chars / max(1, sizes_of.get(k) or 1)) for k in (0, 1)}
+    part = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(parts[k]))])
     sample = sample.where(F.pmod(F.xxhash64("doc_id", F.lit("chars")), F.lit(1 << 20)) < F.try_element_at(part, F.col("toxic").cast("int")) * (1 << 20))
     rows = counted(sample.where(fold != 1)).toArrow()
     learned = bool(rows.num_rows) and {0, 1} <= set(sizes)
@@ -236,9 +238,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 6_000, m
     if learned:
         seen = sample.where(fold == 1).select("text", F.col("toxic").cast("double").alias("y")).mapInArrow(measure, "y double, a double, b double, c double, d double").toArrow()
         x = np.column_stack([seen[c].to_numpy() for c in "abcd"])
+        x[:, :3] *= words
         weights = logistic(x, seen["y"].to_numpy()) if len(x) else np.array([1.0, 0, 0, 0, -4.0])
         if len(x):  # the sample's classes stand in another proportion than the labels': correct the constant
-            drawn = {k: min(1.0, max_train / max(1, sizes[k])) for k in (0, 1)}
+            drawn = {k: min(1.0, max_train / max(1, sizes[k])) * parts[k] for k in (0, 1)}
             weights[-1] += np.log(drawn[0] / drawn[1])
 
     def apply(batches):

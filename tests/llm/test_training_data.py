@@ -268,6 +268,99 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(docs, labels.limit(0)).where("score > 0").count() == 0
 
 
+def plain_kneser_ney(data: list[tuple[str, int]]):
+    """Units (words with the blank before them) of a text, and log ratios of each sign by the written definitions."""
+
+    def units(text):
+        out = []
+        for i, c in enumerate(text.lower()):
+            if c == " " or not i:
+                out.append("")
+            out[-1] += c
+        return out
+
+    seen = {n: {} for n in range(2, 7)}
+    for text, y in data:
+        for n in seen:
+            for g in {u[j - n + 1 : j + 1] for u in units(text) for j in range(n - 1, len(u))}:
+                seen[n].setdefault(g, [0, 0])[1 - y] += 1
+    kinds = {n: {} for n in range(2, 7)}
+    for n in range(3, 7):
+        for g, both in seen[n].items():
+            for k in (0, 1):
+                kinds[n - 1].setdefault(g[1:], [0, 0])[k] += both[k] > 0
+    counts = {n: {g: list(b) if n == 6 or g[0] == " " else [max(kinds[n].get(g, [0, 0])[k], int(b[k] > 0)) for k in (0, 1)] for g, b in seen[n].items()} for n in seen}
+    counts[2] = {g: [sum(b)] * 2 for g, b in counts[2].items()}
+
+    def taken(n, k):
+        one, two, three, four = (max(1, sum(b[k] == j for b in counts[n].values())) for j in (1, 2, 3, 4))
+        y = one / (one + 2 * two)
+        clip = lambda v, low, high: min(max(v, low), high)
+        return [0, clip(1 - 2 * y * two / one, 0.3, 0.95), clip(2 - 3 * y * three / two, 0.6, 1.8), clip(3 - 4 * y * four / three, 0.9, 2.7)]
+
+    off = {(n, k): taken(n, k) for n in counts for k in (0, 1)}
+    after = {}
+    for n, grams in counts.items():
+        for g, b in grams.items():
+            for k in (0, 1):
+                total, held = after.get((g[:-1], k), (0, 0))
+                after[g[:-1], k] = total + b[k], held + off[n, k][min(b[k], 3)]
+
+    def p(k, g):
+        if len(g) == 1:
+            return 1 / 64
+        c = counts[len(g)].get(g, [0, 0])[k]
+        total, held = after.get((g[:-1], k), (0, 0))
+        return (c - off[len(g), k][min(c, 3)]) / max(total, 1) + (held / total if total else 1) * p(k, g[1:])
+
+    ratio = lambda g: math.log(p(0, g) / p(1, g))
+    return units, lambda u: [0.0, *(ratio(u[max(0, j - 5) : j + 1]) for j in range(1, len(u)))]
+
+
+def test_kneser_ney_by_hand(spark):
+    rng = np.random.default_rng(3)
+    words = ["stone", "stove", "store", "grove", "grave", "a", "vile", "VILER", "over", "oven"]
+    data = [(" ".join(rng.choice(words[i % 2 :], 12)) + (" vilest" if i % 3 == 0 else "") + "  end" * (i % 4 == 0), int(i % 3 == 0)) for i in range(30)]
+    rows = toxicity.counted(spark.createDataFrame(data, "text string, toxic long").repartition(4)).toArrow()
+    model = toxicity.KneserNey(rows)
+    model.grams, model.contexts = [toxicity.Slots(*x) for x in model.grams], [toxicity.Slots(*x) for x in model.contexts]
+    units, ratios = plain_kneser_ney(data)
+    texts = [*(t for t, _ in data[:8]), "", " ", "unheard of vilest stones", "vilest and vilest"]
+    expected, whole = [], []
+    for t in texts:
+        by_unit = [ratios(u) for u in units(t)]
+        evidence = sorted((sum(r) / math.sqrt(len(r) + 4) for r in by_unit), reverse=True) + [0, 0]
+        signs = [v for r in by_unit for v in r]
+        whole += signs
+        expected.append([max(evidence[0], 0), max(evidence[1], 0), math.log1p(sum(e > 2 for e in evidence)), sum(signs) / max(1, len(signs))])
+    got, _ = model.ratios(*toxicity.code_points(pa.array(texts, pa.large_string())))
+    assert np.allclose(got, whole, atol=1e-4)
+    assert np.allclose(toxicity.features(model, pa.array(texts, pa.large_string())), expected, atol=1e-4)
+
+
+def test_toxicity_of_odd_rows(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    more = docs.withColumns({"toxic": F.lit("x"), "predicted": F.lit(9), "held_out": F.lit(3)})
+    got = toxicity.score_toxicity(more, labels).collect()
+    assert len(got) == more.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    scores = {}
+    for r in got:
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(s) == 1 for s in scores.values()) and scores[9001] == scores[9002]
+    assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_toxicity_keeps_the_share_of_labels(spark):
+    """Labels that have nothing to do with the texts score as often as they occur, whichever bound of the sample binds."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "theta", "kappa"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 40))) for i in range(1200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    for bounds in ({"max_chars": 50_000}, {"max_train": 200}, {}):
+        mean = toxicity.score_toxicity(docs, labels, **bounds).agg(F.avg("score")).first()[0]
+        assert 0.1 < mean < 0.32, bounds
+
+
 def test_language_model(docs, rows):
     got = {}
     for r in maxent.score_texts(docs, common=500).collect():
