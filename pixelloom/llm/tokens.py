@@ -8,6 +8,7 @@ certain are encoded whole.
 
 from __future__ import annotations
 
+import os
 from array import array
 
 import numpy as np
@@ -34,7 +35,8 @@ _encoders: dict = {}
 
 
 def encoder(path: str, cut: str) -> ChunkEncoder:
-    """The encoder of this Python worker, kept between tasks."""
+    """The encoder of this Python worker, kept between tasks. A task has one core, so the library starts no threads of its own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if (path, cut) not in _encoders:
         _encoders[path, cut] = ChunkEncoder(path, cut)
     return _encoders[path, cut]
