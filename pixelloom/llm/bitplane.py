@@ -34,24 +34,28 @@ def to_planes(ids: np.ndarray, kind: str = "bit", level: int = 3) -> list[bytes]
     pack = zstandard.ZstdCompressor(level=level).compress
     octets = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
     width = int(ids.max()).bit_length() if len(ids) else 0
+    columns = [np.ascontiguousarray(octets[:, k]) for k in range(-(-width // 8))]
     if kind == "byte":
-        return [pack(np.ascontiguousarray(octets[:, k]).tobytes()) for k in range(-(-width // 8))]
-    bits = np.unpackbits(np.ascontiguousarray(octets[:, : -(-width // 8)]), axis=1, bitorder="little")
-    return [pack(np.packbits(bits[:, k]).tobytes()) for k in range(width)]
+        return [pack(c.tobytes()) for c in columns]
+    return [pack(np.packbits(columns[k // 8] & np.uint8(1 << k % 8)).tobytes()) for k in range(width)]
 
 
-def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
-    """The ids of a block of n."""
+def from_planes(planes: list[bytes], n: int, kind: str = "bit", first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids of a block of n, or only those from first to before last."""
     unpack = zstandard.ZstdDecompressor().decompress
-    octets = np.zeros((n, 4), np.uint8)
+    last = n if last is None else last
+    octets = np.zeros((last - first, 4), np.uint8)
     if kind == "byte":
         for k, plane in enumerate(planes):
-            octets[:, k] = np.frombuffer(unpack(plane), np.uint8)
-    elif planes:
-        bits = np.zeros((n, -(-len(planes) // 8) * 8), np.uint8)
-        for k, plane in enumerate(planes):
-            bits[:, k] = np.unpackbits(np.frombuffer(unpack(plane), np.uint8), count=n)
-        octets[:, : bits.shape[1] // 8] = np.packbits(bits, axis=1, bitorder="little")
+            octets[:, k] = np.frombuffer(unpack(plane), np.uint8)[first:last]
+        return octets.view("<u4").ravel()
+    skip = first % 8  # planes open at whole bytes
+    for k in range(0, len(planes), 8):
+        column = np.zeros(skip + last - first, np.uint8)
+        for bit, plane in enumerate(planes[k : k + 8]):
+            some = np.frombuffer(unpack(plane), np.uint8)[first // 8 : -(-last // 8)]
+            column |= np.unpackbits(some, count=len(column)) << np.uint8(bit)
+        octets[:, k // 8] = column[skip:]
     return octets.view("<u4").ravel()
 
 
@@ -129,8 +133,8 @@ class Blocks:
 def read_planes(blocks: DataFrame, kind: str = "bit") -> DataFrame:
     """The documents of a written table: doc_id, start (ids of all documents before it), n_tokens and ids (little-endian 32-bit).
 
-    Blocks are decoded where they are read. A document that lies in one block whole leaves the task as it is; only the parts
-    of documents that run over blocks, a few for each block, are shuffled.
+    Blocks are decoded where they are read, and only as far as their documents are asked for. A document that lies in one block
+    whole leaves the task as it is; only the parts of documents that run over blocks, two at most for each block, are shuffled.
     """
 
     def pieces(whole: bool):
@@ -138,13 +142,16 @@ def read_planes(blocks: DataFrame, kind: str = "bit") -> DataFrame:
             for batch in batches:
                 for one in range(batch.num_rows):
                     row = batch.slice(one, 1).to_pylist()[0]
-                    ids, first = from_planes(row["planes"], row["n_ids"], kind), row["first_id"]
+                    first = row["first_id"]
                     start, length = np.array(row["doc_starts"], np.int64), np.array(row["doc_lengths"], np.int64)
                     a, b = np.maximum(start, first), np.minimum(start + length, first + row["n_ids"])
                     some = np.flatnonzero((b - a == length) == whole)
                     if len(some):
-                        data = ids.tobytes()
-                        parts = [data[4 * (x - first) : 4 * (y - first)] for x, y in zip(a[some].tolist(), b[some].tolist(), strict=True)]
+                        # whole documents stand side by side and are opened at once; of the others, one at either end of the block, each its own ids
+                        opened = [(a[some[0]], b[some[-1]])] if whole else list(zip(a[some], b[some], strict=True))
+                        data = b"".join(from_planes(row["planes"], row["n_ids"], kind, int(x - first), int(y - first)).tobytes() for x, y in opened)
+                        at = 4 * np.concatenate([[0], np.cumsum(b[some] - a[some])])
+                        parts = [data[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                         columns = [pa.array(np.full(len(some), row["shard"], np.int32)), pa.array([row["doc_ids"][i] for i in some], pa.int64()), pa.array(start[some]), pa.array(length[some]), pa.array(a[some]), pa.array(parts, pa.binary())]
                         yield pa.record_batch(columns, names=["shard", "doc_id", "shard_start", "n_tokens", "at", "ids"])
 
