@@ -168,13 +168,14 @@ def top_by_flux(stars: DataFrame, n: int) -> DataFrame:
 
 
 def close_pairs(points: DataFrame, distance: float) -> DataFrame:
-    """(a, b, d) of points (id, x, y) at most that far apart, a < b: by grid cells of that size, each against its half of the neighbours."""
+    """(a, b, d) of points (id, x, y) at most that far apart, a < b: by grid cells of that size, each against its half of the neighbours. Cells meet by a
+    sort-merge join: Spark takes the copies of points for neighbours to be as few as the points, and so would broadcast them from the driver's memory."""
     cell = lambda c: F.floor(F.col(c) / distance).cast("long")
     rows = points.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    near = rows.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", F.explode(steps).alias("s")).select("b", "bx", "by", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"))
-    pairs = rows.join(near, ["cx", "cy"]).where("id < b").withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")))
-    return pairs.where(F.col("d") <= distance).select(F.col("id").alias("a"), "b", "d")
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    near = rows.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy", F.explode(steps).alias("s")).select("b", "bx", "by", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
+    pairs = rows.hint("merge").join(near.hint("merge"), ["cx", "cy"]).where("id < b or (not own and id > b)").withColumn("d", F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")))
+    return pairs.where(F.col("d") <= distance).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "d")
 
 
 def gaussian_kernel(fwhm: float, size: int, oversampling: int = 10) -> np.ndarray:

@@ -165,6 +165,25 @@ def test_groups(spark):
     assert {r.id: r.group_id for r in psf.groups(points, 1.6).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+@pytest.fixture
+def wide(spark):
+    """A session that broadcasts any table of up to 100 MB, as Spark takes it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_close_pairs_are_not_broadcast(wide):
+    rng = np.random.default_rng(3)
+    spots = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-7, 7, (150, 2)))]
+    pairs = detection.close_pairs(positions(wide, spots), 1.5)
+    want = {(a, b) for a, ax, ay in spots for b, bx, by in spots if a < b and np.hypot(ax - bx, ay - by) <= 1.5}
+    rows = pairs.collect()
+    assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_grid(spark):
     assert grid(spark, 3, 4).count() == 12
 
