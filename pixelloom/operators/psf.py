@@ -6,10 +6,10 @@ from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelloom.operators.detection import close_pairs
+from pixelloom.functions.tables import kept
 
 _erf = np.vectorize(erf, otypes=[float])
 
@@ -44,21 +44,49 @@ def residual(pixels: DataFrame, sources: DataFrame, sigma: float, reach: int) ->
     return render(pixels, sources, sigma, reach).withColumn("value", F.col("value") - F.col("model")).drop("model")
 
 
-def groups(sources: DataFrame, separation: float) -> DataFrame:
-    """(id, group_id): sources linked by chains of pairs at most `separation` apart; the group's least id. Ids spread over links by joins until nothing changes."""
-    from pixelloom.operators.segmentation import kept
+def cell_links(places: DataFrame, separation: float) -> DataFrame:
+    """(a, b): names of neighbouring cells that hold points at most `separation` apart. places: cx, cy, name, x, y of the distinct points; cells have sides of 0.7 times the
+    separation. The outermost points of cells in eight directions are compared first; whole cells only where these leave it open and the cells' bounding boxes are near enough."""
+    ways = [F.struct((i * F.col("x") + j * F.col("y")).alias("far"), "x", "y") for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
+    cells = places.groupBy("cx", "cy", "name").agg(F.array_distinct(F.array(*[F.max(w) for w in ways])).alias("tips"), F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in ("x", "y")])
+    cells = cells.withColumn("tips", F.array_distinct(F.transform("tips", lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y")))))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1, 2) for j in range(-2, 3) if i or j > 0])
+    other = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], F.explode(steps).alias("s")).withColumns({"cx": F.col("b_cx") - F.col("s.i"), "cy": F.col("b_cy") - F.col("s.j")}).drop("s")
+    gap = lambda c: F.greatest(F.col(f"b_low_{c}") - F.col(f"high_{c}"), F.col(f"low_{c}") - F.col(f"b_high_{c}"), F.lit(0.0))
+    met = cells.hint("merge").join(other.hint("merge"), ["cx", "cy"]).where(F.hypot(gap("x"), gap("y")) <= separation)
+    met = met.withColumn("near", F.exists("tips", lambda p: F.exists("b_tips", lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) <= separation)))
+    met = kept(met.withColumn("open", ~F.col("near") & ((F.col("n") > F.size("tips")) | (F.col("b_n") > F.size("b_tips")))).where("near or open").drop("tips", "b_tips"), "cells")
+    reach = lambda side: F.hypot(*(F.greatest(F.col(f"{side}low_{c}") - F.col(c), F.col(c) - F.col(f"{side}high_{c}"), F.lit(0.0)) for c in ("x", "y"))) <= separation
+    left = met.where("open").hint("merge").join(places.select("cx", "cy", "x", "y").hint("merge"), ["cx", "cy"]).where(reach("b_")).select("cx", "cy", "b_cx", "b_cy", "name", F.col("x").alias("ax"), F.col("y").alias("ay"))
+    right = met.where("open").hint("merge").join(places.select(F.col("cx").alias("b_cx"), F.col("cy").alias("b_cy"), "x", "y").hint("merge"), ["b_cx", "b_cy"]).where(reach("")).select("cx", "cy", "b_cx", "b_cy", "b_name", "x", "y")
+    exact = left.hint("merge").join(right.hint("merge"), ["cx", "cy", "b_cx", "b_cy"]).where(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")) <= separation)
+    return met.where("near").select(F.col("name").alias("a"), F.col("b_name").alias("b")).union(exact.select("name", "b_name").distinct())
+
 
-    pairs = close_pairs(sources, separation).select("a", "b")
-    both = kept(pairs.union(pairs.select("b", "a")), "pairs")
-    names = kept(sources.select("id", F.col("id").alias("group_id")), "groups")
+def groups(sources: DataFrame, separation: float) -> DataFrame:
+    """(id, group_id): sources linked by chains of pairs at most `separation` apart; the group's least id. Pairs are not listed: points of one cell of 0.7 times the separation
+    are one group, and links are between cells, some two dozen a cell at most. Names of cells, their least ids, spread over links by joins until nothing changes. Joins are by sort and merge, as
+    tables that are small on disk would else be broadcast from the driver's memory. Sources without a finite position, or beyond 1e13 separations from the origin, are groups of their own."""
+    side = 0.7 * separation
+    cell = lambda c: F.floor(F.col(c) / side).cast("long")
+    placed = kept(sources.where(F.col("id").isNotNull() & (F.abs("x") < 1e13 * separation) & (F.abs("y") < 1e13 * separation)).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), cell("x").alias("cx"), cell("y").alias("cy")), "placed")
+    least = placed.groupBy("cx", "cy").agg(F.min("id").alias("name"))
+    places = kept(placed.select("cx", "cy", "x", "y").distinct().hint("merge").join(least.hint("merge"), ["cx", "cy"]), "places")
+    named = kept(placed.hint("merge").join(least.hint("merge"), ["cx", "cy"]).select("id", "name").distinct(), "named")
+    again = named.withColumn("first", F.min("name").over(Window.partitionBy("id"))).where("first <> name").select("first", "name")  # an id at several places links them
+    pairs = cell_links(places, separation).where("a <> b").union(again)
+    both = kept(pairs.union(pairs.select("b", "a")).distinct(), "pairs")
+    names = kept(named.select(F.col("name").alias("id"), F.col("name").alias("group_id")).distinct(), "groups")
     while True:
-        low = both.join(names, both["b"] == names["id"]).groupBy("a").agg(F.min("group_id").alias("low"))
-        new = names.join(low, names["id"] == low["a"], "left").select("id", F.least("group_id", "low").alias("group_id"))
-        new = kept(new.join(new.select(F.col("id").alias("group_id"), F.col("group_id").alias("further")), "group_id", "left").select("id", F.least("group_id", "further").alias("group_id")), "groups")
-        done = new.join(names.withColumnRenamed("group_id", "was"), "id").where("group_id <> was").isEmpty()
+        low = both.hint("merge").join(names, both["b"] == names["id"]).groupBy("a").agg(F.min("group_id").alias("low"))
+        new = names.hint("merge").join(low, names["id"] == low["a"], "left").select("id", F.least("group_id", "low").alias("group_id"))
+        new = kept(new.hint("merge").join(new.select(F.col("id").alias("group_id"), F.col("group_id").alias("further")), "group_id", "left").select("id", F.least("group_id", "further").alias("group_id")), "groups")
+        done = new.hint("merge").join(names.withColumnRenamed("group_id", "was"), "id").where("group_id <> was").isEmpty()
         names = new
         if done:
-            return names
+            break
+    found = named.hint("merge").join(names.withColumnRenamed("id", "name"), "name").groupBy("id").agg(F.min("group_id").alias("group_id"))
+    return sources.select("id").hint("merge").join(found.hint("merge"), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
 
 
 def least_squares(model, start: np.ndarray, value: np.ndarray, weight: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, int]:

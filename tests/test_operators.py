@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from math import pi
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -184,6 +185,31 @@ def test_close_pairs_are_not_broadcast(wide):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_groups_of_crowds_list_no_pairs(spark):
+    rng = np.random.default_rng(9)
+    crowds = [rng.uniform(-0.4, 0.4, (700, 2)) + at for at in ((0, 0), (1.7, 0.3), (4.2, 0))]
+    spots = [(int(k), float(x), float(y)) for k, (x, y) in zip(rng.permutation(2100), np.concatenate(crowds), strict=True)]
+    spots += [(3000 + k, 8.0 + 0.99 * k, 8.0 + 0.01 * (k % 7)) for k in range(40)] + [(4000, float("nan"), 0.0), (4001, float("inf"), 0.0), (4002, None, 0.0)]
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    got = {r.id: r.group_id for r in psf.groups(spark.createDataFrame(spots, "id long, x double, y double"), 1.0).collect()}
+    group = {i: i for i, _, _ in spots}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    fine = spots[:-3]
+    ids, xy = [i for i, _, _ in fine], np.array([p[1:] for p in fine])
+    for i, at in zip(ids, xy, strict=True):
+        for k in np.flatnonzero(np.hypot(*(xy - at).T) <= 1.0):
+            a, b = sorted((top(i), top(ids[k])))
+            group[b] = a
+    assert got == {i: top(i) for i in group} and len(set(got.values())) == 3 + 3
+    assert all(spark.read.parquet(str(f)).count() <= len(spots) for f in set(folder.iterdir()) - before)
+
+
 def test_grid(spark):
     assert grid(spark, 3, 4).count() == 12
 
