@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def written(df: DataFrame, name: str, rows: int = 1000, **options) -> DataFrame:
-    """df as a table in the shared folder: computed once, and safe against lost executors. rows: Arrow batches of at most so many, for the while of writing."""
+def written(df: DataFrame, name: str, rows: int = 1000, by: tuple[str, ...] = (), at: str | None = None, **options) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe against lost executors. rows: Arrow batches of at most so many, for the while of writing. by: columns with a folder for each value. at: a folder to add to."""
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(ROWS_KEY)
+    path, before = at or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(ROWS_KEY)
     try:
         if not 0 < int(before) <= rows:
             spark.conf.set(ROWS_KEY, str(rows))
-        df.write.options(**options).parquet(path)
+        df.write.mode("append").partitionBy(*by).options(**options).parquet(path)
     finally:
         spark.conf.set(ROWS_KEY, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -145,6 +146,35 @@ def test_vectors(spark):
     assert cover_tree.link_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_whose_blocks_all_meet(spark, monkeypatch):
+    """Independent directions with some near copies, equal vectors and repeated ids: links are exact, whatever is sent at a time, and disk follows the vectors, not the pairs of blocks."""
+    monkeypatch.setattr(cover_tree, "SLAB", 64 * 64 * 4 * 5, raising=False)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x[rng.choice(3000, 300, replace=False)] = x[rng.choice(3000, 300)] + 0.1 * rng.normal(size=(300, 64)).astype(np.float32)
+    x[2500:2900] = x[17]
+    rows = [(i, x[i].tolist()) for i in range(3000)] + [(i, x[i + 1].tolist()) for i in range(0, 40, 2)] + [(50, x[50].tolist())] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5).cache()
+    table.count()
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [Path(spark.conf.get("spark.checkpoint.dir")), *(Path(d.getPath()) for d in env.blockManager().diskBlockManager().localDirs())]
+    used = lambda: sum(f.stat().st_size for d in folders for f in d.rglob("*") if f.is_file() and ("shuffle" in f.name or d == folders[0]))
+    before = used()
+    out = cover_tree.link_vectors(table, block=64).collect()
+    grown = used() - before
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    for i in range(0, 40, 2):
+        u[i] = min(cover_tree.scaled(x[[i, i + 1]]), key=lambda v: v.tobytes())
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    top = np.arange(3000)
+    while (new := np.array([min(top[i], top[near[i]].min(initial=9999)) for i in range(3000)])).tolist() != top.tolist():
+        top = new
+    assert len(out) == len(rows) and got == {i: (near[i].sum(), top[i], top[i] == i) for i in range(3000)}
+    assert grown < 8 * x.nbytes, grown
+
+
 def test_cover_tree():
     """Nesting, separation, covering and measured radii, over scales from 1 to 1e-6."""
     rng = np.random.default_rng(7)
